@@ -31,3 +31,8 @@ def saved(df: DataFrame) -> DataFrame:
 def texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows that have both an id and a text, as (doc_id long, text string); other columns go, whatever their names."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
+
+
+def packed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(row, id, rk): the whole row as one struct, so that its columns clash with nothing, its id and its text's hash."""
+    return docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("rk"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import texts
+from .common import packed, texts
 
 WINDOW = 3
 
@@ -115,14 +115,13 @@ def clean(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     ``n_chars``, where there is one, is counted again.  Rows without id or text stay as they are.
     """
-    cols = docs.columns
-    gone = _removed(docs, width, "text", "doc_id").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), "at")
-    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (x, i) -> not exists(at, p -> i >= p and i < p + {width})), '\\n')")
-    out = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_rk")), "left")
-    out = out.withColumn("text", F.when(F.col("at").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("at").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*cols)
+    gone = _removed(docs, width, "text", "doc_id").withColumnRenamed("doc_id", "id")
+    kept = F.expr(f"array_join(filter(split(row.text, '\\n', -1), (x, i) -> not exists(at, p -> i >= p and i < p + {width})), '\\n')")
+    row = F.col("row").withField("text", kept)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(kept).cast(docs.schema["n_chars"].dataType))
+    joined = packed(docs).join(gone, ["id", "rk"], "left")
+    return joined.select(F.when(F.col("at").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 SQL = """

@@ -189,8 +189,8 @@ def merge_spans(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
     return doc[at], lo[at], reach[last] - base[last]
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 100_000) -> Iterator[pa.Table]:
-    """Regroup batches that are sorted by ``key`` into tables of at least ``least`` rows that split no key."""
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 100_000, shift: int = 0) -> Iterator[pa.Table]:
+    """Regroup batches that are sorted by ``key`` into tables of at least ``least`` rows that split no key (less its last ``shift`` bits)."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for b in batches:
@@ -201,7 +201,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 100_0
         if rows < least:
             continue
         t = pa.Table.from_batches(held)
-        k = t.column(key).combine_chunks().to_numpy(zero_copy_only=False)
+        k = t.column(key).to_numpy() >> shift
         cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
         if cut:
             yield t.slice(0, cut)

@@ -24,28 +24,29 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 def _below(probes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(probes) + 1)
+        sums, rows = np.zeros(len(probes) + 1), np.zeros(len(probes) + 1, np.int64)
         for b in batches:
             at = np.searchsorted(probes, b.column("key").to_numpy(), "right")
             sums += np.bincount(at, weights=b.column("bytes").to_numpy(), minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64))], names=["at", "bytes"])
+            rows += np.bincount(at, minlength=len(sums))
+        at = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at].astype(np.int64)), pa.array(rows[at])], names=["at", "bytes", "rows"])
 
     return run
 
 
 def bytes_below(sizes: DataFrame, probes: np.ndarray) -> np.ndarray:
-    """Exact bytes of the rows with a key below each probe (sorted); what reaches the driver is as many numbers as probes."""
-    sums = np.zeros(len(probes) + 1, np.int64)
-    for at, n in sizes.mapInArrow(_below(probes), "at int, bytes long").groupBy("at").agg(F.sum("bytes")).collect():
-        sums[at] = n
-    return np.cumsum(sums)[:-1]
+    """Exact bytes and number of the rows with a key below each probe (sorted), a column each; as many numbers as probes reach the driver."""
+    sums = np.zeros((len(probes) + 1, 2), np.int64)
+    for at, size, rows in sizes.mapInArrow(_below(probes), "at int, bytes long, rows long").groupBy("at").agg(F.sum("bytes"), F.sum("rows")).collect():
+        sums[at] = size, rows
+    return np.cumsum(sums, axis=0)[:-1]
 
 
 def between(lo: int, hi: int, n: int) -> list[int]:
     """At most n whole numbers strictly between lo and hi, evenly spread."""
-    gap = hi - lo
-    return sorted({lo + gap * (k + 1) // (n + 1) for k in range(min(n, max(0, gap - 1)))} - {lo, hi})
+    n = min(n, hi - lo - 1)
+    return [lo + (hi - lo) * (k + 1) // (n + 1) for k in range(n)]
 
 
 def splitters(sizes: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[int]:
@@ -53,22 +54,22 @@ def splitters(sizes: DataFrame, shards: int = SHARDS, tolerance: float = TOLERAN
 
     sizes: (key long, bytes long).  Keys that many rows share can't be cut; the nearer side is taken.
     """
-    total = int(sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    total, rows = map(int, sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first())
     targets = [total * i // shards for i in range(1, shards)]
     slack = tolerance * total / shards
-    lo, hi = [(LOW, 0)] * len(targets), [(HIGH, total)] * len(targets)
+    lo, hi = [(LOW, 0, 0)] * len(targets), [(HIGH, total, rows)] * len(targets)
     done: list[int | None] = [None] * len(targets)
     while (open_ := [i for i, d in enumerate(done) if d is None]):
         tried = sorted({p for i in open_ for p in between(lo[i][0], hi[i][0], probes)})
         counted = dict(zip(tried, bytes_below(sizes, np.array(tried, np.int64)).tolist())) if tried else {}
         for i in open_:
             for p in between(lo[i][0], hi[i][0], probes):
-                if counted[p] <= targets[i]:
-                    lo[i] = max(lo[i], (p, counted[p]))
+                if counted[p][0] <= targets[i]:
+                    lo[i] = max(lo[i], (p, *counted[p]))
                 else:
-                    hi[i] = min(hi[i], (p, counted[p]))
+                    hi[i] = min(hi[i], (p, *counted[p]))
             near = min(lo[i], hi[i], key=lambda x: abs(x[1] - targets[i]))
-            if abs(near[1] - targets[i]) <= slack or hi[i][0] - lo[i][0] <= 1:
+            if abs(near[1] - targets[i]) <= slack or hi[i][2] - lo[i][2] <= 1 or hi[i][0] - lo[i][0] <= 1:
                 done[i] = near[0]
     return sorted(done)
 

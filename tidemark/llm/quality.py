@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import texts
 
-SAMPLE, BITS, PREFIXES = 8_000, 20, (4, 6, 8)
+SAMPLE, BITS, PREFIXES, PIECE = 8_000, 20, (4, 6, 8), 1 << 20
 _kind = np.where(tv._is_word, 1, 2).astype(np.int8)
 _kind[[9, 10, 11, 12, 13, 32]] = 0
 _upper = np.zeros(256, bool)
@@ -69,52 +69,65 @@ def features(data: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.n
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def dual_coordinate_descent(x: list[np.ndarray], v: list[np.ndarray], y: np.ndarray, cost: np.ndarray, width: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
-    """Weights of least |w|^2 / 2 + sum of cost * hinge loss; x and v: indices and values of each sample."""
-    w = np.zeros(width)
+def _counts(flat: np.ndarray, width: int, which: np.ndarray | None = None) -> np.ndarray:
+    """How often each feature occurs, among the entries that ``which`` names if given; piecewise, as bincount copies."""
+    out = np.zeros(width, np.int64)
+    for i in range(0, len(flat), PIECE):
+        x = flat[i : i + PIECE]
+        out += np.bincount(x if which is None else x[which[i : i + PIECE]], minlength=width)
+    return out
+
+
+def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15, seed: int = 7) -> np.ndarray:
+    """Weights, the bias last, of least |w|^2 / 2 + sum of cost * hinge loss.
+
+    Sample i has the features flat[ends[i - 1]:ends[i]], each with its ``value`` times scale[i], and a constant 1.
+    """
+    w = np.zeros(len(value) + 1)
     alpha = np.zeros(len(y))
-    norm = np.array([float(a @ a) for a in v])
+    starts = np.concatenate(([0], ends[:-1]))
+    norm = np.array([1 + scale[i] ** 2 * float(v @ v) for i, v in ((i, value[flat[a:b]]) for i, (a, b) in enumerate(zip(starts, ends)))])
     rng = np.random.Generator(np.random.PCG64(seed))
     for _ in range(rounds):
         worst = 0.0
         for i in rng.permutation(len(y)):
-            if not norm[i]:
-                continue
-            g = y[i] * float(w[x[i]] @ v[i]) - 1
+            x = flat[starts[i] : ends[i]]
+            v = value[x] * scale[i]
+            g = y[i] * float(w[x] @ v + w[-1]) - 1
             a = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if a != alpha[i]:
                 worst = max(worst, abs(a - alpha[i]) * norm[i])
-                w[x[i]] += (a - alpha[i]) * y[i] * v[i]
+                w[x] += (a - alpha[i]) * y[i] * v
+                w[-1] += (a - alpha[i]) * y[i]
                 alpha[i] = a
         if worst < 1e-3:
             break
     return w
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, cost: float = 1.0, smooth: float = 1.0, least: int = 4) -> np.ndarray:
-    """One weight for each feature and, last, the bias.
+def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, bits: int = BITS, cost: float = 1.0, smooth: float = 1.0, least: int = 4) -> np.ndarray:
+    """One weight for each feature and, last, the bias, from samples whose features end at ``ends`` in ``flat``.
 
     y: +1 or -1; classes weigh alike.  With samples of one class only, the answer is that class always.  Features of
-    fewer than ``least`` samples weigh nothing.
+    fewer than ``least`` samples weigh nothing.  Memory is that of ``flat``, some of it twice.
     """
     width = 1 << bits
     out = np.zeros(width + 1)
     if not len(y) or (y > 0).all() or (y < 0).all():
         out[-1] = 1.0 if not len(y) or y[0] > 0 else -1.0
         return out
-    seen = np.bincount(np.concatenate(rows), minlength=width)
-    sums = []
-    for c in (1, -1):
-        own = [r for r, k in zip(rows, y) if k == c]
-        p = smooth + np.bincount(np.concatenate(own), minlength=width)
-        sums.append(np.log(p / p.sum()))
-    ratio = sums[0] - sums[1]
-    ratio[seen < least] = 0
-    rows = [r[seen[r] >= least] for r in rows]
-    x = [np.append(r, width) for r in rows]
-    v = [np.append(ratio[r] / np.sqrt(max(1, len(r))), 1.0) for r in rows]
+    good = np.repeat(y > 0, np.diff(ends, prepend=0))
+    pos = smooth + _counts(flat, width, good)
+    neg = smooth + _counts(flat, width, ~good)
+    ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
+    often = pos + neg - 2 * smooth >= least
+    ratio[~often] = 0
+    kept = often[flat]
+    ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+    flat = flat[kept]
+    scale = 1 / np.sqrt(np.maximum(1, np.diff(ends, prepend=0)))
     share = {c: len(y) / (2 * (y == c).sum()) for c in (1, -1)}
-    w = dual_coordinate_descent(x, v, y, np.array([cost * share[int(c)] for c in y]), width + 1)
+    w = dual_coordinate_descent(flat, ends, ratio, scale, y, np.array([cost * share[int(c)] for c in y]))
     out[:-1], out[-1] = w[:-1] * ratio, w[-1]
     return out
 
@@ -152,9 +165,14 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
     """Both models, fitted on the driver to a bounded sample of the labelled documents (``sample`` rows, a parameter)."""
     rows = sorted(tuple(r) for r in labelled(docs, labels, sample, bits).collect())
-    f = [np.frombuffer(r[3], np.int32) for r in rows]
     q, t = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    head = lambda k, y: fit([f[i] for i in np.flatnonzero(k)], y[k], bits).astype(np.float32)
+    f = [np.frombuffer(r[3], np.int32) for r in rows]
+
+    def head(which: np.ndarray, y: np.ndarray) -> np.ndarray:
+        own = [f[i] for i in np.flatnonzero(which)]
+        ends = np.cumsum([len(x) for x in own], dtype=np.int64)
+        return fit(np.concatenate(own or [np.zeros(0, np.int32)]), ends, y[which], bits).astype(np.float32)
+
     return Model(head(q >= 0, np.where(q > 0, 1, -1)), head(t >= 0, np.where(t > 0, -1, 1)), bits)
 
 

@@ -169,32 +169,35 @@ def generalize_values(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", *[G.age(a, f"{w}y").alias(f"by_{w}") for w in (5, 10, 20)], G.zip_code(z, "3-digit").alias("zip_3"), G.zip_code(z, "1-digit").alias("zip_1"), G.coordinates(F.col("c_acctbal").cast("string"), "1dp").alias("place"))
 
 
-def _digits(n: int, mul: int) -> tuple[Column, str]:
-    """n digits made of the customer's key, for Spark and for SQL."""
-    return F.lpad(((F.col("c_custkey") * mul) % 10**n).cast("string"), n, "0"), f"lpad(CAST((c_custkey * {mul}) % {10**n} AS VARCHAR), {n}, '0')"
+#: by number of digits, what the customer's key is multiplied with to make a string of them
+_KEYS = {9: 7919977, 10: 79199771, 12: 7919977123, 15: 791997712331, 16: 791997712331, 18: 791997712331}
 
 
-_N9, _N10, _N12, _N15, _N16, _N18 = _digits(9, 7919977), _digits(10, 79199771), _digits(12, 7919977123), _digits(15, 791997712331), _digits(16, 791997712331), _digits(18, 791997712331)
-_NHS = f"(11 - {Q.weighted(_N10[1], list(range(10, 1, -1)))} % 11)"
-_IBAN_SQL = f"(CAST({_N18[1]} || '131468' AS HUGEINT) % 97 = 1)"
+def _digits(n: int) -> Column:
+    return F.lpad(((F.col("c_custkey") * _KEYS[n]) % 10**n).cast("string"), n, "0")
+
+
+_N9, _N10, _N12, _N15, _N16, _N18 = (f"lpad(CAST((c_custkey * {_KEYS[n]}) % {10**n} AS VARCHAR), {n}, '0')" for n in (9, 10, 12, 15, 16, 18))
+_NHS = f"(11 - {Q.weighted(_N10, list(range(10, 1, -1)))} % 11)"
+_IBAN_SQL = f"(CAST({_N18} || '131468' AS HUGEINT) % 97 = 1)"
 
 
 @query(
-    f"""SELECT c_custkey, {Q.luhn(_N16[1], 16)} AS luhn,
- (substr({_N9[1]}, 1, 1) <> '9' AND substr({_N9[1]}, 1, 3) NOT IN ('000', '666') AND substr({_N9[1]}, 4, 2) <> '00' AND substr({_N9[1]}, 6, 4) <> '0000') AS ssn,
- (substr({_N9[1]}, 1, 1) = '9' AND substr({_N9[1]}, 4, 1) IN ('7', '8')) AS itin,
- length(replace({_N9[1]}, substr({_N9[1]}, 1, 1), '')) > 0 AS sin,
- (substr({_N12[1]}, 1, 1) NOT IN ('0', '1') AND length(replace({_N12[1]}, substr({_N12[1]}, 1, 1), '')) > 0) AS aadhaar,
- (CASE WHEN {_NHS} = 11 THEN 0 ELSE {_NHS} END = CAST(substr({_N10[1]}, 10, 1) AS INT) AND {_NHS} <> 10) AS nhs,
- {Q.luhn(f"('80840' || {_N10[1]})", 15)} AS npi, ({Q.weighted(_N9[1], [3, 7, 1] * 3)} % 10 = 0) AS aba, {Q.luhn(_N15[1], 15)} AS imei, {_IBAN_SQL} AS iban,
- {Q.phone_ok(_N10[1])} AS phone, (CAST(c_custkey % 400 AS INT) <= 255) AS ipv4, (c_acctbal BETWEEN -90 AND 90) AS latitude, (c_acctbal BETWEEN -180 AND 180) AS longitude, CAST({_N10[1]} AS BIGINT) <= 978307200 AS unix_time FROM customer"""
+    f"""SELECT c_custkey, {Q.luhn(_N16, 16)} AS luhn,
+ (substr({_N9}, 1, 1) <> '9' AND substr({_N9}, 1, 3) NOT IN ('000', '666') AND substr({_N9}, 4, 2) <> '00' AND substr({_N9}, 6, 4) <> '0000') AS ssn,
+ (substr({_N9}, 1, 1) = '9' AND substr({_N9}, 4, 1) IN ('7', '8')) AS itin,
+ length(replace({_N9}, substr({_N9}, 1, 1), '')) > 0 AS sin,
+ (substr({_N12}, 1, 1) NOT IN ('0', '1') AND length(replace({_N12}, substr({_N12}, 1, 1), '')) > 0) AS aadhaar,
+ (CASE WHEN {_NHS} = 11 THEN 0 ELSE {_NHS} END = CAST(substr({_N10}, 10, 1) AS INT) AND {_NHS} <> 10) AS nhs,
+ {Q.luhn(f"('80840' || {_N10})", 15)} AS npi, ({Q.weighted(_N9, [3, 7, 1] * 3)} % 10 = 0) AS aba, {Q.luhn(_N15, 15)} AS imei, {_IBAN_SQL} AS iban,
+ {Q.phone_ok(_N10)} AS phone, (CAST(c_custkey % 400 AS INT) <= 255) AS ipv4, (c_acctbal BETWEEN -90 AND 90) AS latitude, (c_acctbal BETWEEN -180 AND 180) AS longitude, CAST({_N10} AS BIGINT) <= 978307200 AS unix_time FROM customer"""
 )
 def validators(spark, sf_dir):
     v, c = VALIDATORS, table(spark, sf_dir, "customer")
     balance = F.col("c_acctbal").cast("decimal(20,2)").cast("string")
     return c.select(
-        "c_custkey", v["LUHN_CHECKSUM"](_N16[0]).alias("luhn"), v["US_SSN"](_N9[0]).alias("ssn"), v["US_ITIN"](_N9[0]).alias("itin"), v["CANADIAN_SIN"](_N9[0]).alias("sin"), v["INDIAN_AADHAAR"](_N12[0]).alias("aadhaar"), v["UK_NHS"](_N10[0]).alias("nhs"), v["NPI"](_N10[0]).alias("npi"),
-        v["ABA_ROUTING_NUMBER"](_N9[0]).alias("aba"), v["IMEI"](_N15[0]).alias("imei"), v["IBAN"](F.concat(F.lit("DE68"), _N18[0])).alias("iban"), v["PHONE_US"](_N10[0]).alias("phone"), v["IPV4_RANGE"](F.concat(F.lit("10.0.0."), (F.col("c_custkey") % 400).cast("string"))).alias("ipv4"), v["LATITUDE"](balance).alias("latitude"), v["LONGITUDE"](balance).alias("longitude"), v["UNIX_TIMESTAMP"](_N10[0]).alias("unix_time"),
+        "c_custkey", v["LUHN_CHECKSUM"](_digits(16)).alias("luhn"), v["US_SSN"](_digits(9)).alias("ssn"), v["US_ITIN"](_digits(9)).alias("itin"), v["CANADIAN_SIN"](_digits(9)).alias("sin"), v["INDIAN_AADHAAR"](_digits(12)).alias("aadhaar"), v["UK_NHS"](_digits(10)).alias("nhs"), v["NPI"](_digits(10)).alias("npi"),
+        v["ABA_ROUTING_NUMBER"](_digits(9)).alias("aba"), v["IMEI"](_digits(15)).alias("imei"), v["IBAN"](F.concat(F.lit("DE68"), _digits(18))).alias("iban"), v["PHONE_US"](_digits(10)).alias("phone"), v["IPV4_RANGE"](F.concat(F.lit("10.0.0."), (F.col("c_custkey") % 400).cast("string"))).alias("ipv4"), v["LATITUDE"](balance).alias("latitude"), v["LONGITUDE"](balance).alias("longitude"), v["UNIX_TIMESTAMP"](_digits(10)).alias("unix_time"),
     )
 
 

@@ -123,7 +123,8 @@ def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, bits: int = BITS, cos
     often = pos + neg - 2 * smooth >= least
     ratio[~often] = 0
     kept = often[flat]
-    ends = np.concatenate(([0], np.cumsum(kept)))[ends]
+    starts = np.concatenate(([0], ends[:-1]))
+    ends = np.cumsum([np.count_nonzero(kept[a:b]) for a, b in zip(starts, ends)])
     flat = flat[kept]
     scale = 1 / np.sqrt(np.maximum(1, np.diff(ends, prepend=0)))
     share = {c: len(y) / (2 * (y == c).sum()) for c in (1, -1)}
@@ -166,12 +167,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     """Both models, fitted on the driver to a bounded sample of the labelled documents (``sample`` rows, a parameter)."""
     rows = sorted(tuple(r) for r in labelled(docs, labels, sample, bits).collect())
     q, t = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    f = [np.frombuffer(r[3], np.int32) for r in rows]
+    sizes = np.array([len(r[3]) // 4 for r in rows], np.int64)
+    flat = np.frombuffer(b"".join(r[3] for r in rows), np.int32)
+    del rows
 
     def head(which: np.ndarray, y: np.ndarray) -> np.ndarray:
-        own = [f[i] for i in np.flatnonzero(which)]
-        ends = np.cumsum([len(x) for x in own], dtype=np.int64)
-        return fit(np.concatenate(own or [np.zeros(0, np.int32)]), ends, y[which], bits).astype(np.float32)
+        own = flat if which.all() else flat[np.repeat(which, sizes)]
+        return fit(own, np.cumsum(sizes[which]), y[which], bits).astype(np.float32)
 
     return Model(head(q >= 0, np.where(q > 0, 1, -1)), head(t >= 0, np.where(t > 0, -1, 1)), bits)
 

@@ -206,6 +206,20 @@ def test_decontamination(spark):
     assert decontam.leaks(d, bench.where("false")).count() == 0 and decontam.leaks(d.where("false"), bench).count() == 0
 
 
+def test_decontamination_of_copies_that_many_hold(spark):
+    """Edited and cut copies of items that stand in very many documents, against an alignment without seeds."""
+    a, b, c = (words(20, s).split() for s in (31, 32, 33))
+    edited = [w if k % 4 != 3 else "edit" for k, w in enumerate(a)]
+    rows = [(i, words(30, 400 + i) + " " + " ".join(edited) + " " + words(30, 500 + i)) for i in range(60)]
+    rows += [(100 + i, words(30, 600 + i) + " " + " ".join(b)) for i in range(60)]
+    rows += [(200, words(30, 700) + " " + " ".join(["edit"] * 9 + b[9:])), (201, words(30, 701) + " " + " ".join(b[:11])), (202, words(30, 702) + " " + " ".join(b[17:])), (203, " ".join(c))]
+    items = [(0, " ".join(a)), (1, " ".join(b)), (2, " ".join(c))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, j): round(s, 6) for i, t in rows for j, x in items if (s := align(tokens(x), tokens(t)) / 40) >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(frame(spark, rows), bench).collect()}
+    assert got == want and {(0, 0), (59, 0), (100, 1), (200, 1), (201, 1), (203, 2)} <= set(want) and (202, 1) not in want
+
+
 def test_smith_waterman():
     r = np.random.Generator(np.random.PCG64(2))
     a, b = r.integers(0, 4, (30, 12)).astype(np.uint64), r.integers(0, 4, (30, 20)).astype(np.uint64)

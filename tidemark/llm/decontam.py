@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted in all documents.  Those that are rare there are seeds: a document that
-holds one is aligned, around the seed's place, with the items that have it.  An item keeps the rarest half of its
-n-grams as seeds in any case, so that one that leaked into very many documents is still found.  The local alignment
+The n-grams of the test items are counted in all documents.  Those that occur are seeds: a document that holds one is
+aligned, around the seed's place, with the items that have it.  Where all seeds of a passage are frequent, it is aligned
+only if it holds enough of the item's words for the score to be reached at all, which loses none.  The local alignment
 scores words: +2 for a match, -1 for a mismatch, -1 for a word left out or put in.  Its share of the score that the
 whole item would reach decides.
 """
@@ -59,8 +59,8 @@ class Seeds:
         order = np.argsort(g, kind="stable")
         self.key, self.of, self.place = g[order], w.row[at][order], (at - w.first[w.row[at]])[order]
 
-    def keep(self, which: np.ndarray) -> None:
-        self.key, self.of, self.place = self.key[which], self.of[which], self.place[which]
+    def keep(self, which: np.ndarray, rare: np.ndarray) -> None:
+        self.key, self.of, self.place, self.rare = self.key[which], self.of[which], self.place[which], rare[which]
         self.table()
 
     def table(self) -> None:
@@ -99,6 +99,39 @@ def _count(seeds):
     return run
 
 
+def _slices(row: np.ndarray, n: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of whole rows whose ``n`` add up to about ``most``."""
+    first, total = tv.runs(row), np.concatenate(([0], np.cumsum(n)))
+    lo = 0
+    while lo < len(first) - 1:
+        hi = max(lo + 1, int(np.searchsorted(total[first], total[first[lo]] + most, "right")) - 1)
+        yield first[lo], first[hi]
+        lo = hi
+
+
+def _passages(s: Seeds, w: tv.Words, at: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, start, end, whether a rare seed is in it); seeds of the same item that lie near each other share a passage."""
+    seed, at = tv.expand(k, n), np.repeat(at, n)
+    item, row = s.of[seed], w.row[at]
+    slack = s.n[item] // 4 + 3
+    start = np.maximum(w.first[row], at - s.place[seed] - slack)
+    end = np.minimum(w.first[row + 1], at - s.place[seed] + s.n[item] + slack)
+    own = row * len(s.ids) + item
+    pair, lo, hi = tv.merge_spans(own, start, end)
+    wide = len(w.row) + 1
+    rare = np.zeros(len(pair), bool)
+    rare[np.searchsorted(pair * wide + lo, (own * wide + start)[s.rare[seed]], "right") - 1] = True
+    return pair // len(s.ids), pair % len(s.ids), lo, hi, rare
+
+
+def _shared(items: np.ndarray, n_items: np.ndarray, passages: np.ndarray, n_passages: np.ndarray) -> np.ndarray:
+    """How many of each item's words stand anywhere in its passage; an alignment can't match more."""
+    there = np.zeros(items.shape, bool)
+    for j in range(passages.shape[1]):
+        there |= (items == passages[:, j, None]) & (j < n_passages)[:, None]
+    return (there & (np.arange(items.shape[1]) < n_items[:, None])).sum(axis=1)
+
+
 def _align(seeds, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())])
 
@@ -112,25 +145,21 @@ def _align(seeds, threshold: float):
                 at, k = s.hits(w)
                 if not len(at):
                     continue
-                n = upto[k] - k
-                seed, at = tv.expand(k, n), np.repeat(at, n)
-                item, row = s.of[seed], w.row[at]
-                slack = s.n[item] // 4 + 3
-                start = np.maximum(w.first[row], at - s.place[seed] - slack)
-                end = np.minimum(w.first[row + 1], at - s.place[seed] + s.n[item] + slack)
-                # seeds of the same item that lie near each other share a passage
-                pair, start, end = tv.merge_spans(row * len(s.ids) + item, start, end)
-                row, item = pair // len(s.ids), pair % len(s.ids)
-                size = end - start
-                for one in np.array_split(np.argsort(size, kind="stable"), len(size) // 256 + 1):
-                    if not len(one):
-                        continue
-                    m = _matrix(s.words, s.first[item[one]], s.n[item[one]])
-                    p = _matrix(w.hash, start[one], size[one])
-                    best, stop = smith_waterman(m, s.n[item[one]], p, size[one])
-                    share = best / (MATCH * s.n[item[one]])
-                    ok = np.flatnonzero(share >= threshold)
-                    if len(ok):
+                for x, y in _slices(w.row[at], upto[k] - k):
+                    row, item, start, end, rare = _passages(s, w, at[x:y], k[x:y], (upto[k] - k)[x:y])
+                    size = end - start
+                    for one in np.array_split(np.argsort(size, kind="stable"), len(size) // 256 + 1):
+                        m = _matrix(s.words, s.first[item[one]], s.n[item[one]])
+                        p = _matrix(w.hash, start[one], size[one])
+                        able = rare[one] | (_shared(m, s.n[item[one]], p, size[one]) >= threshold * s.n[item[one]])
+                        one, m, p = one[able], m[able], p[able]
+                        if not len(one):
+                            continue
+                        best, stop = smith_waterman(m, s.n[item[one]], p, size[one])
+                        share = best / (MATCH * s.n[item[one]])
+                        ok = np.flatnonzero(share >= threshold)
+                        if not len(ok):
+                            continue
                         r = row[one][ok]
                         yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][r]), pa.array(rk[lo:hi][r]), pa.array(s.ids[item[one][ok]]), pa.array(share[ok]), pa.array(start[one][ok] + stop[ok] - w.first[r])], schema=schema)
 
@@ -150,12 +179,7 @@ def _pass(spark: SparkSession, d: DataFrame, n_docs: int, rows: list, gram: int,
     counted = spark.sparkContext.broadcast(s)
     df = {r[0]: r[1] for r in d.select("text").mapInArrow(_count(counted), "g long, n long").groupBy("g").agg(F.sum("n")).collect()}
     count = np.array([df.get(int(g), 0) for g in s.key.view(np.int64)])
-    keep = count <= rare * n_docs
-    order = np.lexsort((s.place, count, s.of))
-    first = tv.runs(s.of[order])
-    rank = np.arange(len(order)) - np.repeat(first[:-1], np.diff(first))
-    keep[order] |= rank < np.repeat((np.diff(first) + 1) // 2, np.diff(first))
-    s.keep(keep & (count > 0))
+    s.keep(count > 0, count <= max(1, rare * n_docs))
     if not len(s.key):
         return None
     return d.mapInArrow(_align(spark.sparkContext.broadcast(s), threshold), "doc_id long, rk long, item_id long, score double, end_word long")
@@ -165,8 +189,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rare: float =
     """Documents that hold a test item or an edited copy of it: (doc_id, rk, item_id, score, end_word).
 
     ``score`` is the best alignment's share of the full score, ``threshold`` the least that is reported; ``end_word``
-    the number of the document's word after the aligned passage; of equal scores the first passage counts.  N-grams of
-    ``gram`` words that stand in at most a share ``rare`` of the documents are seeds.  The benchmark is gone through
+    the number of the document's word after the aligned passage; of equal scores the first passage counts.  All
+    n-grams of ``gram`` words are seeds, whatever their number; those in at most a share ``rare`` of the documents need
+    no count of words before the alignment.  A copy without ``gram`` words in a row of the item isn't found.  The benchmark is gone through
     ``items`` at a time, so that what is broadcast stays bounded.  Rows without id or text, and items of fewer than
     ``gram`` words, match nothing; repeated rows, items or documents, are reported once per id; other columns play no
     part.

@@ -235,6 +235,14 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_secrets_beside_characters_outside_ascii(spark):
+    key = "AKx9Qz7Lp2Rt5Vb8Nc1Wd4Ye6Hf3Jg0"
+    around = [("«", "»"), ("“", "”"), ("clé\u00a0", "\u00a0fin"), ("→", "—"), ("密钥：", "。"), ("这是密钥", "请保密")]
+    rows = [(i, a + key + b) for i, (a, b) in enumerate(around)]
+    got = {r.doc_id: (r.token, r.start, r.end) for r in secrets.find_secrets(frame(spark, rows), llr=secrets.train(frame(spark, ROWS).select("text"))).collect()}
+    assert got == {i: (key, len(a), len(a) + len(key)) for i, (a, _) in enumerate(around)}
+
+
 def test_secret_models_tell_apart(spark):
     llr = secrets.train(frame(spark, ROWS).select("text"))
     held = [x for x in secrets.random_strings(600, 99) if len(x) >= 20 and re.search("[A-Za-z]", x)]

@@ -22,6 +22,7 @@ LEAST, ODDS = 16, 12.0
 _in = np.zeros(256, bool)
 _in[[*b"+/=_-"]] = True
 _in |= tv._is_word
+_key = _in & (np.arange(256) < 128)
 _letter = np.zeros(256, bool)
 _letter[65:91] = _letter[97:123] = True
 _letter[128:] = True
@@ -130,7 +131,7 @@ def _find(llr, least: int, odds: float):
         for b in batches:
             doc = b.column("doc_id").to_numpy()
             for lo, hi, data, offs in tv.chunks(b.column("text")):
-                start, end = _runs(data, offs, _in)
+                start, end = _runs(data, offs, _key)
                 long = end - start >= least
                 start, end = start[long], end[long]
                 if not len(start):
@@ -142,8 +143,7 @@ def _find(llr, least: int, odds: float):
                 before[first] = _EDGE
                 s = np.add.reduceat(m[before, c], first)
                 letters = np.add.reduceat(_letter[data[at]].astype(np.int64), first)
-                wide = np.add.reduceat((data[at] > 127).astype(np.int64), first)
-                ok = np.flatnonzero((s > odds) & (letters > 0) & (wide == 0))
+                ok = np.flatnonzero((s > odds) & (letters > 0))
                 if len(ok):
                     row = np.searchsorted(offs, start[ok], "right") - 1
                     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
@@ -158,7 +158,7 @@ def find_secrets(docs: DataFrame, least: int = LEAST, odds: float = ODDS, text:
     """(doc_id, start, end, token, score) of the random strings; offsets count characters, half open.
 
     A candidate is a run of at least ``least`` ASCII letters, digits and ``+/=_-`` with a letter in it; it is reported
-    if the log-likelihood ratio is above ``odds``.  Numbers and runs with characters outside ASCII are no candidates.
+    if the log-likelihood ratio is above ``odds``.  Numbers are no candidates; characters outside ASCII end a run.
     Rows without id or text give nothing; repeated rows are reported each; other columns play no part.
     """
     d = texts(docs, text, doc_id)

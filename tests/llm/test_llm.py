@@ -243,6 +243,27 @@ def test_secrets_beside_characters_outside_ascii(spark):
     assert got == {i: (key, len(a), len(a) + len(key)) for i, (a, _) in enumerate(around)}
 
 
+def test_secrets_glued_to_paths_and_names(spark):
+    llr = secrets.train(frame(spark, ROWS).select("text"))
+    r = np.random.Generator(np.random.PCG64(14))
+    before = ["export/secret_access_token=", "/services/config/default/user/session/token/", "user_session_key-"]
+    rows, keys = [], []
+    for k in range(240):
+        alphabet, n = [(secrets._ALPHABETS[3], 20), (secrets._ALPHABETS[3], 32), (secrets._ALPHABETS[2], 32), (secrets._ALPHABETS[0], 40)][k % 4]
+        keys.append("".join(alphabet[i] for i in r.integers(0, len(alphabet), n)))
+        rows.append((k, "see " + before[k % 3] + keys[-1] + "/items/list" * (k % 2)))
+    rows.append((900, f"old=/{keys[1]}/services/config/default/user/session/{keys[5]} end"))
+    got = defaultdict(list)
+    for x in secrets.find_secrets(frame(spark, rows), llr=llr).collect():
+        assert (rows[x.doc_id][1] if x.doc_id < 900 else rows[-1][1])[x.start : x.end] == x.token and len(x.token) >= secrets.LEAST
+        got[x.doc_id].append(x.token)
+    held = [max((sum(c in t for c in (key[i : i + 8] for i in range(len(key) - 7))) / (len(key) - 7) for t in got[k]), default=0) for k, key in enumerate(keys)]
+    assert (np.array(held) >= 0.6).mean() >= 0.9
+    assert len(got[900]) == 2
+    plain = [(i, x) for i, x in enumerate(secrets.identifiers(600, 97))]
+    assert secrets.find_secrets(frame(spark, plain), llr=llr).count() < 0.02 * 600
+
+
 def test_secret_models_tell_apart(spark):
     llr = secrets.train(frame(spark, ROWS).select("text"))
     held = [x for x in secrets.random_strings(600, 99) if len(x) >= 20 and re.search("[A-Za-z]", x)]

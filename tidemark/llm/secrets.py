@@ -3,7 +3,8 @@
 Two first-order models of characters, one of random strings and one of ordinary identifiers, are trained from labelled
 samples: random strings are generated, in the alphabets that keys and tokens use, and ordinary ones are all words of
 letters in the corpus, together with compounds as programs name things.  A candidate is a long run of the characters
-that keys are made of; the log-likelihood ratio of the two models decides.
+that keys are made of; the log-likelihood ratio of the two models, over the stretch of the run where it is greatest,
+decides.  So a path or a name that is glued to a key doesn't hide it.
 """
 
 from __future__ import annotations
@@ -123,6 +124,25 @@ def ratio(tokens: list[str], llr: np.ndarray) -> np.ndarray:
     return out
 
 
+def stretches(c: np.ndarray, llr: np.ndarray, least: int, odds: float) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the best stretch of at least ``least`` codes, and so on left and right of it, while above ``odds``."""
+    out, todo = [], [(0, len(c))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < least:
+            continue
+        sums = np.concatenate(([0.0], np.cumsum(llr[c[lo : hi - 1], c[lo + 1 : hi]])))
+        begin = llr[_EDGE, c[lo:hi]] - sums
+        top = np.maximum.accumulate(begin[: hi - lo - least + 1])
+        score = sums[least - 1 :] + top
+        k = int(score.argmax())
+        if score[k] > odds:
+            i, j = lo + int(begin[: k + 1].argmax()), lo + k + least
+            out.append((i, j, float(score[k])))
+            todo += [(lo, i), (j, hi)]
+    return sorted(out)
+
+
 def _find(llr, least: int, odds: float):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("token", pa.string()), ("score", pa.float64())])
 
@@ -138,18 +158,20 @@ def _find(llr, least: int, odds: float):
                     continue
                 n = end - start
                 c = _CODE[data[at := tv.expand(start, n)]]
-                before = np.concatenate(([_EDGE], c[:-1]))
                 first = np.cumsum(n) - n
-                before[first] = _EDGE
-                s = np.add.reduceat(m[before, c], first)
-                letters = np.add.reduceat(_letter[data[at]].astype(np.int64), first)
-                ok = np.flatnonzero((s > odds) & (letters > 0))
-                if len(ok):
-                    row = np.searchsorted(offs, start[ok], "right") - 1
+                # no stretch of a run scores more than its best beginning and all that speaks for a key
+                gain = np.maximum(m[np.concatenate(([_EDGE], c[:-1])), c], 0)
+                gain[first] = 0
+                able = np.maximum.reduceat(m[_EDGE, c], first) + np.add.reduceat(gain, first) > odds
+                found = [(start[r] + i, start[r] + j, x) for r in np.flatnonzero(able) for i, j, x in stretches(c[first[r] : first[r] + n[r]], m, least, odds)]
+                found = [x for x in found if _letter[data[x[0] : x[1]]].any()]
+                if found:
+                    start, end = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+                    row = np.searchsorted(offs, start, "right") - 1
                     chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-                    a, z = chars[start[ok]] - chars[offs[row]], chars[end[ok]] - chars[offs[row]]
-                    token = [data[x:y].tobytes().decode() for x, y in zip(start[ok], end[ok])]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][row]), pa.array(a), pa.array(z), pa.array(token, pa.string()), pa.array(np.round(s[ok], 4))], schema=schema)
+                    a, z = chars[start] - chars[offs[row]], chars[end] - chars[offs[row]]
+                    token = [data[x:y].tobytes().decode() for x, y in zip(start, end)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi][row]), pa.array(a), pa.array(z), pa.array(token, pa.string()), pa.array([round(x[2], 4) for x in found])], schema=schema)
 
     return run
 
@@ -157,8 +179,9 @@ def _find(llr, least: int, odds: float):
 def find_secrets(docs: DataFrame, least: int = LEAST, odds: float = ODDS, text: str = "text", doc_id: str = "doc_id", llr: np.ndarray | None = None) -> DataFrame:
     """(doc_id, start, end, token, score) of the random strings; offsets count characters, half open.
 
-    A candidate is a run of at least ``least`` ASCII letters, digits and ``+/=_-`` with a letter in it; it is reported
-    if the log-likelihood ratio is above ``odds``.  Numbers are no candidates; characters outside ASCII end a run.
+    A candidate is a run of at least ``least`` ASCII letters, digits and ``+/=_-``.  Its stretch of at
+    least ``least`` characters with the greatest log-likelihood ratio is reported if that is above ``odds`` and a letter
+    is in it; what is left on either side is a candidate again.  Numbers are no candidates; characters outside ASCII end a run.
     Rows without id or text give nothing; repeated rows are reported each; other columns play no part.
     """
     d = texts(docs, text, doc_id)

@@ -6,10 +6,12 @@ one's docs.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontam, line_dedup, quality, simhash
-from tidemark.llm.common import saved, table
+from tidemark.llm.common import shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; what each returns is written and read again."""
+    """All stages on the documents; what each returns is written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}.parquet")
+        docs = table(spark, at, name)
     return STAGES[-1][1](spark, docs, sf_dir)

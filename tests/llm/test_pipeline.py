@@ -49,6 +49,24 @@ def test_run_gives_what_the_stages_give(spark, sf):
     assert 1002 not in ids and 1003 not in ids and {1001, 1004, 1005, 1006, 1007, None} <= set(ids)
 
 
+def test_run_reads_the_parquet_of_the_stage_before(spark, sf, monkeypatch):
+    at, _ = sf
+    read = {}
+
+    def watch(name, stage):
+        def run(spark, docs, sf_dir):
+            read[name] = docs.inputFiles()
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(pipeline, "STAGES", [(n, watch(n, f)) for n, f in pipeline.STAGES])
+    pipeline.run(spark, at)
+    names = [n for n, _ in pipeline.STAGES]
+    for before, name in zip(names, names[1:]):
+        assert read[name] and all(f"/{before}.parquet/" in x for x in read[name])
+
+
 def test_empty_and_odd_documents(spark, sf):
     at, _ = sf
     for name, stage in pipeline.STAGES:

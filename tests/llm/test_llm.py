@@ -418,13 +418,35 @@ def test_dual_coordinate_descent_finds_the_optimum():
     dense = r.integers(0, 2, (60, 8)).astype(float)
     y = np.where(dense[:, 0] + dense[:, 1] - dense[:, 2] + 0.3 * r.standard_normal(60) > 0.5, 1, -1)
     flat, ends = np.concatenate([np.flatnonzero(x) for x in dense]), np.cumsum(dense.sum(axis=1)).astype(int)
-    w = quality.dual_coordinate_descent(flat, ends, np.ones(8), np.ones(60), y, np.ones(60), rounds=2000)
+    w = quality.dual_coordinate_descent(flat, ends, np.ones(8), np.ones(60), y, np.ones(60))
     loss = lambda w: w @ w / 2 + np.maximum(0, 1 - y * (dense @ w[:-1] + w[-1])).sum()
     best = loss(w)
     for _ in range(300):
         assert loss(w + 0.05 * r.standard_normal(9)) >= best - 1e-2
 
 
+def test_fit_reaches_the_optimum_at_production_settings():
+    """Overlapping classes that need many rounds; the reference value comes from a descent on the primal."""
+    r = np.random.Generator(np.random.PCG64(13))
+    n, m = 2000, 60
+    dense = r.integers(0, 2, (n, m)).astype(float)
+    y = np.where(dense @ r.standard_normal(m) + 4 * r.standard_normal(n) > 0.5, 1, -1)
+    flat, ends = np.concatenate([np.flatnonzero(x) for x in dense]), np.cumsum(dense.sum(axis=1)).astype(int)
+    got = quality.fit(flat, ends, y, bits=6)
+    pos, neg = (1 + np.bincount(flat[np.repeat(y == c, np.diff(ends, prepend=0))], minlength=64) for c in (1, -1))
+    ratio = (np.log(pos / pos.sum()) - np.log(neg / neg.sum()))[:m]
+    x = np.c_[dense * ratio / np.sqrt(np.maximum(1, dense.sum(axis=1)))[:, None], np.ones(n)]
+    cost = np.array([n / (2 * (y == c).sum()) for c in y])
+    loss = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w = best = np.zeros(m + 1)
+    for k in range(1, 20_001):
+        live = y * (x @ w) < 1
+        w = w - (w - (cost[live] * y[live]) @ x[live]) / k
+        best = w if loss(w) < loss(best) else best
+    own = np.append(np.divide(got[:m], ratio, out=np.zeros(m), where=ratio != 0), got[-1])
+    assert loss(own) <= loss(best) * 1.001
+
+
 def test_words_match_the_pattern():
     text = ["Ab1 c-d ÜbÉr", "", "x", "  ", "tail"]
     data, offs = tv.buffers(pa.array(text))

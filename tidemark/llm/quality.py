@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import texts
 
-SAMPLE, BITS, PREFIXES, PIECE = 8_000, 20, (4, 6, 8), 1 << 20
+SAMPLE, BITS, PREFIXES, TOLERANCE = 8_000, 20, (4, 6, 8), 1e-2
 _kind = np.where(tv._is_word, 1, 2).astype(np.int8)
 _kind[[9, 10, 11, 12, 13, 32]] = 0
 _upper = np.zeros(256, bool)
@@ -69,43 +69,69 @@ def features(data: np.ndarray, offs: np.ndarray, bits: int = BITS) -> tuple[np.n
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def _counts(flat: np.ndarray, width: int, which: np.ndarray | None = None) -> np.ndarray:
-    """How often each feature occurs, among the entries that ``which`` names if given; piecewise, as bincount copies."""
-    out = np.zeros(width, np.int64)
-    for i in range(0, len(flat), PIECE):
-        x = flat[i : i + PIECE]
-        out += np.bincount(x if which is None else x[which[i : i + PIECE]], minlength=width)
-    return out
+def scaling_counts(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many samples of class +1 and of class -1 each feature occurs."""
+    out = np.zeros((2, width), np.int64)
+    starts = np.concatenate(([0], ends[:-1]))
+    for a, b, c in zip(starts, ends, y):
+        out[int(c < 0), flat[a:b]] += 1  # a sample has each of its features once
+    return out[0], out[1]
 
 
-def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 15, seed: int = 7) -> np.ndarray:
+def dual_coordinate_descent(flat: np.ndarray, ends: np.ndarray, value: np.ndarray, scale: np.ndarray, y: np.ndarray, cost: np.ndarray, tolerance: float = TOLERANCE, seed: int = 7) -> np.ndarray:
     """Weights, the bias last, of least |w|^2 / 2 + sum of cost * hinge loss.
 
     Sample i has the features flat[ends[i - 1]:ends[i]], each with its ``value`` times scale[i], and a constant 1.
+    Rounds over the samples in random order go on until no projected gradient of the dual is off by more than
+    ``tolerance`` in a round over all samples; there is no other end.  Samples at a bound that the gradient holds there
+    are left out of the rounds in between (shrinking).
     """
-    w = np.zeros(len(value) + 1)
-    alpha = np.zeros(len(y))
     starts = np.concatenate(([0], ends[:-1]))
-    norm = np.array([1 + scale[i] ** 2 * float(v @ v) for i, v in ((i, value[flat[a:b]]) for i, (a, b) in enumerate(zip(starts, ends)))])
+    square = value * value
+    own = [flat[a:b] for a, b in zip(starts, ends)]
+    norm = np.array([1 + s * s * square[x].sum() for x, s in zip(own, scale)])
+    # u holds the weights times the values, so that a margin is a sum of u over a sample's features
+    u, bias, alpha = np.zeros(len(value)), 0.0, np.zeros(len(y))
     rng = np.random.Generator(np.random.PCG64(seed))
-    for _ in range(rounds):
-        worst = 0.0
-        for i in rng.permutation(len(y)):
-            x = flat[starts[i] : ends[i]]
-            v = value[x] * scale[i]
-            g = y[i] * float(w[x] @ v + w[-1]) - 1
-            a = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
-            if a != alpha[i]:
-                worst = max(worst, abs(a - alpha[i]) * norm[i])
-                w[x] += (a - alpha[i]) * y[i] * v
-                w[-1] += (a - alpha[i]) * y[i]
-                alpha[i] = a
-        if worst < 1e-3:
-            break
+    everyone = np.arange(len(y))
+    active, high, low = everyone, np.inf, -np.inf
+    while len(y):
+        most, least, stay = -np.inf, np.inf, []
+        for i in rng.permutation(active).tolist():
+            x, sign, a = own[i], y[i], alpha[i]
+            g = sign * (scale[i] * u[x].sum() + bias) - 1
+            if a <= 0:
+                if g > high:
+                    continue
+                pg = min(g, 0.0)
+            elif a >= cost[i]:
+                if g < low:
+                    continue
+                pg = max(g, 0.0)
+            else:
+                pg = g
+            stay.append(i)
+            most, least = max(most, pg), min(least, pg)
+            if abs(pg) > 1e-12:
+                now = min(max(a - g / norm[i], 0.0), cost[i])
+                if now != a:
+                    u[x] += (now - a) * sign * scale[i] * square[x]
+                    bias += (now - a) * sign
+                    alpha[i] = now
+        if most - least <= tolerance or not stay:
+            if len(active) == len(y):
+                break
+            active, high, low = everyone, np.inf, -np.inf
+            continue
+        active = np.array(stay)
+        high, low = most if most > 0 else np.inf, least if least < 0 else -np.inf
+    w = np.zeros(len(value) + 1)
+    np.divide(u, value, out=w[:-1], where=value != 0)
+    w[-1] = bias
     return w
 
 
-def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, bits: int = BITS, cost: float = 1.0, smooth: float = 1.0, least: int = 4) -> np.ndarray:
+def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, bits: int = BITS, cost: float = 1.0, smooth: float = 1.0, least: int = 4, tolerance: float = TOLERANCE) -> np.ndarray:
     """One weight for each feature and, last, the bias, from samples whose features end at ``ends`` in ``flat``.
 
     y: +1 or -1; classes weigh alike.  With samples of one class only, the answer is that class always.  Features of
@@ -116,20 +142,22 @@ def fit(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, bits: int = BITS, cos
     if not len(y) or (y > 0).all() or (y < 0).all():
         out[-1] = 1.0 if not len(y) or y[0] > 0 else -1.0
         return out
-    good = np.repeat(y > 0, np.diff(ends, prepend=0))
-    pos = smooth + _counts(flat, width, good)
-    neg = smooth + _counts(flat, width, ~good)
+    pos, neg = scaling_counts(flat, ends, y, width)
+    often = np.flatnonzero(pos + neg >= least)
+    pos, neg = pos + smooth, neg + smooth
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    often = pos + neg - 2 * smooth >= least
-    ratio[~often] = 0
-    kept = often[flat]
+    # the features that are left get numbers without gaps, so that what a round touches stays in the caches
+    number = np.full(width, -1, np.int32)
+    number[often] = np.arange(len(often), dtype=np.int32)
     starts = np.concatenate(([0], ends[:-1]))
-    ends = np.cumsum([np.count_nonzero(kept[a:b]) for a, b in zip(starts, ends)])
-    flat = flat[kept]
+    own = [x[x >= 0] for x in (number[flat[a:b]] for a, b in zip(starts, ends))]
+    ends = np.cumsum([len(x) for x in own])
+    flat = np.concatenate(own)
+    del own
     scale = 1 / np.sqrt(np.maximum(1, np.diff(ends, prepend=0)))
     share = {c: len(y) / (2 * (y == c).sum()) for c in (1, -1)}
-    w = dual_coordinate_descent(flat, ends, ratio, scale, y, np.array([cost * share[int(c)] for c in y]))
-    out[:-1], out[-1] = w[:-1] * ratio, w[-1]
+    w = dual_coordinate_descent(flat, ends, ratio[often], scale, y, np.array([cost * share[int(c)] for c in y]), tolerance)
+    out[often], out[-1] = w[:-1] * ratio[often], w[-1]
     return out
 
 
@@ -163,19 +191,37 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int
     return texts(docs).join(F.broadcast(lab), "doc_id").mapInArrow(_extract(bits), "doc_id long, quality long, toxic long, f binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Both models, fitted on the driver to a bounded sample of the labelled documents (``sample`` rows, a parameter)."""
-    rows = sorted(tuple(r) for r in labelled(docs, labels, sample, bits).collect())
-    q, t = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-    sizes = np.array([len(r[3]) // 4 for r in rows], np.int64)
-    flat = np.frombuffer(b"".join(r[3] for r in rows), np.int32)
-    del rows
+def _fit(bits: int, tolerance: float):
+    schema = pa.schema([("head", pa.string()), ("w", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(b.column("doc_id").to_numpy(), b.column("quality").to_numpy(), b.column("toxic").to_numpy(), *tv.buffers(b.column("f")), b) for b in batches if b.num_rows]
+        pieces = [np.frombuffer(data[a:z].tobytes(), np.uint32) for *_, data, offs, _ in got for a, z in zip(offs[:-1], offs[1:])]
+        ids, quality, toxic = (np.concatenate([g[k] for g in got] or [np.zeros(0, np.int64)]) for k in range(3))
+        del got
+        # the order in which rows arrive must not matter
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], len(pieces[i]), pieces[i].tobytes())), np.int64)
+        for name, label, good in (("quality", quality, 1), ("toxic", toxic, 0)):
+            which = order[label[order] >= 0]
+            flat = np.concatenate([pieces[i] for i in which] or [np.zeros(0, np.uint32)])
+            ends = np.cumsum([len(pieces[i]) for i in which]).astype(np.int64)
+            w = fit(flat, ends, np.where((label[which] > 0) == (good > 0), 1, -1), bits, tolerance=tolerance).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([w.tobytes()], pa.binary())], schema=schema)
+        pa.default_memory_pool().release_unused()
+
+    return run
 
-    def head(which: np.ndarray, y: np.ndarray) -> np.ndarray:
-        own = flat if which.all() else flat[np.repeat(which, sizes)]
-        return fit(own, np.cumsum(sizes[which]), y[which], bits).astype(np.float32)
 
-    return Model(head(q >= 0, np.where(q > 0, 1, -1)), head(t >= 0, np.where(t > 0, -1, 1)), bits)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, tolerance: float = TOLERANCE) -> Model:
+    """Both models, fitted to a bounded sample of the labelled documents (``sample`` rows, a parameter).
+
+    Features are taken from the texts in parallel; the fit is one task of an executor, which another one repeats if
+    that executor is lost.  What comes to the driver are the two models, 4 bytes for each of 2^``bits`` features.
+    """
+    rows = labelled(docs, labels, sample, bits).repartition(1).mapInArrow(_fit(bits, tolerance), "head string, w binary").collect()
+    empty = fit(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0), bits).astype(np.float32)
+    heads = {r["head"]: np.frombuffer(bytes(r["w"]), np.float32) for r in rows}
+    return Model(heads.get("quality", empty), heads.get("toxic", empty), bits)
 
 
 def _judge(m: Model, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import texts
+from .common import saved, texts
 
 SPANS = "doc_id long, rk long, lo int, hi int"
 
@@ -44,10 +44,38 @@ def united(spans: DataFrame) -> DataFrame:
     )
 
 
-def repeated(found: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs more than once.  Counting combines on the map side and the join back may split hot keys."""
-    often = found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    return found.join(often, key, "left_semi")
+def often(found: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that occur more than once, written down; counting combines on the map side."""
+    return saved(found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+
+
+def window_spans(docs: DataFrame, found: DataFrame, hot: DataFrame, key: str, gram: int, span: int, length: int) -> DataFrame:
+    """(doc_id, rk, lo, hi) of repeated windows whose minimizer is too frequent for its windows to meet in one task.
+
+    Such windows are told by a hash of all their words and counted, which combines on the map side, so that a passage
+    in a third of all documents costs no more memory than any other.  Every window under a hot key is counted.
+    found: (key, doc_id, rk, pos); hot: the hot keys.
+    """
+    at = found.join(hot.select(key), key, "left_semi").groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("at"))
+
+    def windows(w: tv.Words, doc: np.ndarray, rk: np.ndarray, at: pa.Array):
+        s, a, _ = tv.anchors(w, gram, span, length)
+        order = np.argsort(a, kind="stable")
+        s, a = s[order], a[order]
+        first = tv.runs(a)
+        hit, _ = wanted(w, a[first[:-1]], w.row, at)
+        s = s[np.repeat(hit, np.diff(first))]
+        if not len(s):
+            return None
+        pow_, inv = tv._powers(len(w.hash) + 1)
+        sums = np.concatenate(([np.uint64(0)], np.cumsum(w.hash * pow_[: len(w.hash)])))
+        h = tv.mix((sums[s + length] - sums[s]) * inv[s])
+        return h.view(np.int64), doc[w.row[s]], rk[w.row[s]], w.position[s].astype(np.int32)
+
+    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("lo", pa.int32())])
+    every = docs.join(at, ["doc_id", "rk"]).select("doc_id", "rk", "at", "text").mapInArrow(scan(["doc_id", "rk", "at"], schema, windows), "h long, doc_id long, rk long, lo int")
+    again = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    return every.join(again, "h", "left_semi").select("doc_id", "rk", "lo", (F.col("lo") + length).cast("int").alias("hi"))
 
 
 def scan(columns: list[str], schema: pa.Schema, f: Callable) -> Callable:

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .passages import SPANS, keyed, repeated, scan, united, wanted
+from .passages import SPANS, keyed, often, scan, united, wanted, window_spans
 
-LENGTH, GRAM = 50, 8
+LENGTH, GRAM, HOT = 50, 8, 200_000
 
 
 def suffix_sort(text: np.ndarray, depth: int) -> np.ndarray:
@@ -133,12 +133,13 @@ def _blocks(length: int, block_rows: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", block_rows: int = 8_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text: str = "text", doc_id: str = "doc_id", block_rows: int = 8_000, hot_rows: int = HOT) -> DataFrame:
     """Spans of words that also occur elsewhere, ``length`` words or more at a stretch.
 
     Returns (doc_id, start_word, end_word), half-open word numbers within the document; all occurrences are reported,
-    the first too.  ``gram`` words make an anchor; ``block_rows`` segments make a block.  Nulls, short and empty texts,
-    repeated rows and further columns: see :mod:`passages`.
+    the first too.  ``gram`` words make an anchor; ``block_rows`` segments make a block.  Windows whose anchor stands in
+    more than ``hot_rows`` places would not fit in a block; they are counted by hash instead, which loses none.  Nulls,
+    short and empty texts, repeated rows and further columns: see :mod:`passages`.
     """
     docs = keyed(docs, text, doc_id)
     span = length - gram + 1
@@ -150,7 +151,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
 
     marks = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32())])
     found = docs.mapInArrow(scan(["doc_id", "rk"], marks, find), "gram long, doc_id long, rk long, pos int")
-    at = repeated(found, "gram").groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("at"))
+    counts = often(found, "gram")
+    hot = counts.where(F.col("n") > hot_rows)
+    at = found.join(counts.where(F.col("n") <= hot_rows).select("gram"), "gram", "left_semi").groupBy("doc_id", "rk").agg(F.collect_set("pos").alias("at"))
 
     def cut(w: tv.Words, doc: np.ndarray, rk: np.ndarray, at: pa.Array):
         s, a, g = tv.anchors(w, gram, span, length)
@@ -169,4 +172,6 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
     pieces = pa.schema([("gram", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
     segments = docs.join(at, ["doc_id", "rk"]).select("doc_id", "rk", "at", "text").mapInArrow(scan(["doc_id", "rk", "at"], pieces, cut), "gram long, seg long, doc_id long, rk long, start int, words binary")
     spans = segments.repartition("gram").sortWithinPartitions("gram", "seg").mapInArrow(_blocks(length, block_rows), SPANS)
+    if not hot.isEmpty():
+        spans = spans.unionByName(window_spans(docs, found, hot, "gram", gram, span, length))
     return united(spans)

@@ -24,7 +24,7 @@ from . import textvec as tv
 from .common import packed, saved, texts
 from .components import components
 
-DISTANCE, CHECK, RATIO, PARTS = 10, 22, 1.25, 4
+DISTANCE, CHECK, RATIO, PARTS, BLOCK = 10, 22, 1.25, 4, 100_000
 _BAND = math.log(1.5)
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
@@ -125,9 +125,29 @@ def _masks(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.int64)
 
 
-def _probes(parts: list[list[int]], thresholds: list[int], ratio: float):
-    schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-    plan = [(i, part, role, _masks(len(part), r)) for i, (part, t) in enumerate(zip(parts, thresholds)) if t >= 0 for role, r in ([(0, t // 2)] if t % 2 == 0 else [(1, t // 2), (2, t // 2 + 1)])]
+def _roles(t: int) -> list[tuple[int, int]]:
+    """(role, radius) of the probes for a threshold: all alike, or two kinds that meet each other."""
+    return [] if t < 0 else [(0, t // 2)] if t % 2 == 0 else [(1, t // 2), (2, t // 2 + 1)]
+
+
+def blocks(counts: list[np.ndarray], widths: list[int], thresholds: list[int], block_rows: int) -> dict[int, np.ndarray]:
+    """By part, into how many blocks the probes of each value are split, from how many signatures have the values around it.
+
+    Parts without a hot value are left out.
+    """
+    out = {}
+    for i, (c, width, t) in enumerate(zip(counts, widths, thresholds)):
+        here = np.arange(1 << width)
+        probes = sum((c[here ^ m] for _, r in _roles(t) for m in _masks(width, r)), np.zeros(1 << width))
+        if (n := np.ceil(probes / block_rows).astype(np.int32)).max(initial=0) > 1:
+            out[i] = np.maximum(n, 1)
+    return out
+
+
+def _probes(parts: list[list[int]], thresholds: list[int], ratio: float, split: dict[int, np.ndarray]):
+    """A probe's group is (g), its role and size (rs), its signature; those of a hot value go to every pair of blocks that their own is in."""
+    schema = pa.schema([("g", pa.int64()), ("rs", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+    plan = [(i, part, role, _masks(len(part), r)) for i, (part, t) in enumerate(zip(parts, thresholds)) for role, r in _roles(t)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,14 +155,25 @@ def _probes(parts: list[list[int]], thresholds: list[int], ratio: float):
                 size, s1, s2 = (piece.column(c).to_numpy() for c in ("size", "s1", "s2"))
                 at = np.log(size.astype(np.float64))
                 lo, hi = (np.floor((at + x * math.log(ratio) / 2) / _BAND).astype(np.int64) + 1 for x in (-1.000001, 1.000001))
-                who = np.concatenate((np.arange(len(size)), np.flatnonzero(hi > lo)))
-                band = np.concatenate((lo, hi[hi > lo]))
+                who, band = np.repeat(np.arange(len(size)), hi - lo + 1), tv.expand(lo, hi - lo + 1)
+                own = node_of(s1, s2, size).view(np.uint64)
                 for i, part, role, masks in plan:
-                    v = part_values(s1.view(np.uint64), part)[who]
-                    key = ((np.int64(i) << 6 | band) << 16 | v)[:, None] ^ masks
-                    k = (key << 2 | role) << 32 | size[who][:, None].astype(np.int64)
+                    v = part_values(s1.view(np.uint64), part)[who][:, None] ^ masks
+                    g = ((np.int64(i) << 6 | band)[:, None] << 16 | v).reshape(-1)
                     rep = np.repeat(who, len(masks))
-                    yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1)), pa.array(s1[rep]), pa.array(s2[rep])], schema=schema)
+                    if i in split:
+                        n = split[i][v.reshape(-1)].astype(np.int64)
+                        hot = np.flatnonzero(n > 1)
+                        times = n[hot] - 1
+                        mine = np.repeat((own[rep[hot]] % n[hot].astype(np.uint64)).astype(np.int64), times)
+                        other = tv.expand(np.zeros(len(hot), np.int64), times)
+                        other += other >= mine
+                        pair = np.minimum(mine, other) * np.repeat(n[hot], times) + np.maximum(mine, other)
+                        cold = np.flatnonzero(n == 1)
+                        g = np.concatenate((g[cold], (pair + 1) << 28 | np.repeat(g[hot], times)))
+                        rep = np.concatenate((rep[cold], np.repeat(rep[hot], times)))
+                    rs = (role << 29 | size[rep].astype(np.int64)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(rs), pa.array(s1[rep]), pa.array(s2[rep])], schema=schema)
 
     return run
 
@@ -151,9 +182,9 @@ def node_of(s1: np.ndarray, s2: np.ndarray, size: np.ndarray) -> np.ndarray:
     return tv.mix(tv.mix(s1.view(np.uint64)) + s2.view(np.uint64) * np.uint64(3) + size.astype(np.uint64)).view(np.int64)
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Component of each of n nodes, named by its least node."""
-    root = np.arange(n)
+def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """Component of each of n nodes, named by its least node; ``root``: what is known of them, which is changed."""
+    root = np.arange(n) if root is None else root
     while len(a):
         ra, rb = root[a], root[b]
         open_ = ra != rb
@@ -163,7 +194,7 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             nxt = root[root]
             if (nxt == root).all():
                 break
-            root = nxt
+            root[:] = nxt
     return root
 
 
@@ -178,21 +209,42 @@ def _close(s1, s2, size, i, j, distance: int, check: int, ratio: float) -> np.nd
 def _links(distance: int, check: int, ratio: float, rows: int, large: int = 512, at_once: int = 2_000_000):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def reach(a: np.ndarray, b: np.ndarray, close) -> tuple[np.ndarray, np.ndarray]:
+        """Links that hold the components of a large group together, found by going from each member to those of the other side that nothing has reached yet; a is b if all meet all."""
+        ea, eb, free = [], [], [a, a if a is b else b]
+        while len(free[0]):
+            front, free[0] = [(int(free[0][0]), 0)], free[0][1:]
+            if a is b:
+                free[1] = free[0]
+            while front:
+                x, side = front.pop()
+                there = free[1 - side]
+                near = close(np.full(len(there), x), there)
+                ea.append(np.full(int(near.sum()), x))
+                eb.append(there[near])
+                front.extend((y, 1 - side) for y in there[near].tolist())
+                free[1 - side] = there[~near]
+                if a is b:
+                    free[side] = free[1 - side]
+        none = a[:0]
+        return np.concatenate(ea or [none]), np.concatenate(eb or [none])
+
     def one(t: pa.Table) -> pa.RecordBatch | None:
-        k = t.column("k").to_numpy()
+        g, rs = t.column("g").to_numpy(), t.column("rs").to_numpy()
         s1, s2 = (t.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
-        size, role = k & 0xFFFFFFFF, k >> 32 & 3
+        size, role = rs & ((1 << 29) - 1), rs >> 29
         close = lambda i, j: _close(s1, s2, size, i, j, distance, check, ratio)
-        first = tv.runs(k >> 34)
+        name, which = np.unique(node_of(s1, s2, size), return_inverse=True)
+        root = np.arange(len(name))
+        first = tv.runs(g)
         sizes = np.diff(first)
         end = np.repeat(first[1:], sizes)
-        here = np.arange(len(k))
+        here = np.arange(len(g))
         # of a group whose halves differ, those of role 1 meet those of role 2; else all meet all
         split = np.repeat(np.add.reduceat(role == 1, first[:-1]), sizes) + np.repeat(first[:-1], sizes)
         lo = np.where(role == 0, here + 1, np.where(role == 1, split, end))
         n = end - lo
-        n[np.repeat(sizes > large, sizes) & (role == 0)] = 0
-        ea, eb = [], []
+        n[np.repeat(sizes > large, sizes)] = 0
         ends = np.cumsum(n)
         done = 0
         while done < len(n):
@@ -200,32 +252,21 @@ def _links(distance: int, check: int, ratio: float, rows: int, large: int = 512,
             i = np.repeat(here[done:upto], n[done:upto])
             j = tv.expand(lo[done:upto], n[done:upto])
             ok = close(i, j)
-            ea.append(i[ok])
-            eb.append(j[ok])
+            local_roots(len(name), which[i[ok]], which[j[ok]], root)
             done = upto
-        for g in np.flatnonzero((sizes > large) & (role[first[:-1]] == 0)):
-            # a large group needs only its components: each member meets those that nothing has reached yet
-            left = np.arange(first[g], first[g + 1])
-            while len(left):
-                front, left = [int(left[0])], left[1:]
-                while front and len(left):
-                    x = front.pop()
-                    near = close(np.full(len(left), x), left)
-                    ea.append(np.full(int(near.sum()), x))
-                    eb.append(left[near])
-                    front.extend(left[near].tolist())
-                    left = left[~near]
-        a, b = np.concatenate(ea or [here[:0]]), np.concatenate(eb or [here[:0]])
-        if not len(a):
-            return None
-        node = node_of(s1, s2, size)
-        name, which = np.unique(node, return_inverse=True)
-        root = local_roots(len(name), which[a], which[b])
+        for k in np.flatnonzero(sizes > large):
+            members = here[first[k] : first[k + 1]]
+            sides = (members, members) if role[members[0]] == 0 else (members[role[members] == 1], members[role[members] == 2])
+            i, j = reach(*sides, close)
+            local_roots(len(name), which[i], which[j], root)
+        root = local_roots(len(name), which[:0], which[:0], root)
         on = np.flatnonzero(root != np.arange(len(name)))
+        if not len(on):
+            return None
         return pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(name[root[on]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tv.whole_groups(batches, "k", rows, 34):
+        for t in tv.whole_groups(batches, "g", rows):
             if (out := one(t)) is not None:
                 yield out
 
@@ -257,8 +298,8 @@ def _values(parts: list[list[int]]):
     return run
 
 
-def plan(own: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> tuple[list[list[int]], list[int]]:
-    """The parts' bits and thresholds for a table of distinct signatures; what comes to the driver has a fixed size."""
+def plan(own: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block_rows: int = BLOCK) -> tuple[list[list[int]], list[int], dict[int, np.ndarray]]:
+    """The parts' bits, their thresholds and their hot values' blocks for a table of distinct signatures; what comes to the driver has a fixed size."""
     n = own.count()
     together = np.zeros((64, 64))
     for i, j, x in own.select("s1").mapInArrow(_together, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n")).collect():
@@ -267,10 +308,12 @@ def plan(own: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> tuple[
     counts = [np.zeros(1 << len(p)) for p in bits]
     for k, v, x in own.select("s1").mapInArrow(_values(bits), "part int, value int, n long").groupBy("part", "value").agg(F.sum("n")).toLocalIterator():
         counts[k][v] = x
-    return bits, allocate([pairs_within(c, len(p)) for c, p in zip(counts, bits)], [len(p) for p in bits], n, distance)
+    widths = [len(p) for p in bits]
+    thresholds = allocate([pairs_within(c, len(p)) for c, p in zip(counts, bits)], widths, n, distance)
+    return bits, thresholds, blocks(counts, widths, thresholds, block_rows)
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, check: int = CHECK, ratio: float = RATIO, parts: int = PARTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, check: int = CHECK, ratio: float = RATIO, parts: int = PARTS, text: str = "text", doc_id: str = "doc_id", block_rows: int = BLOCK) -> DataFrame:
     """Groups of near-duplicate documents: (doc_id, rk, group_id, kept, copies), for documents in groups of two and more.
 
     Two documents are near duplicates if their signatures differ in at most ``distance`` of the 64 search bits and
@@ -278,12 +321,16 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, check: int = CHEC
     connected components; group_id is the least doc_id in the group, whose row is the one to keep (of rows with that
     id, the one whose text hash rk is least).  ``copies`` is the number of rows that share both id and text; such rows
     are duplicates of one another and come as one row here.  Documents without id, text or any word are in no group.
+    Probes that share more than ``block_rows`` others' key are dealt out in blocks, and every pair of blocks meets in a
+    task of its own: no key fills a task, and no pair is lost.
     """
+    if not (4 <= parts <= 63 and 0 <= distance <= 64 and ratio >= 1):
+        raise ValueError("parts must be 4 to 63, distance 0 to 64 and ratio 1 or more")
     sig = saved(signatures(docs, text, doc_id).groupBy("doc_id", "rk", "size", "s1", "s2").agg(F.count(F.lit(1)).alias("copies")))
     own = saved(sig.select("s1", "s2", "size").distinct())
-    bits, thresholds = plan(own, distance, parts)
-    probes = own.mapInArrow(_probes(bits, thresholds, ratio), "k long, s1 long, s2 long")
-    links = probes.repartition(F.expr("shiftright(k, 34)")).sortWithinPartitions("k").mapInArrow(_links(distance, check, ratio, 200_000), "a long, b long")
+    bits, thresholds, split = plan(own, distance, parts, block_rows)
+    probes = own.mapInArrow(_probes(bits, thresholds, ratio, split), "g long, rs int, s1 long, s2 long")
+    links = probes.repartition("g").sortWithinPartitions("g", "rs").mapInArrow(_links(distance, check, ratio, 200_000), "a long, b long")
     roots = components(links)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

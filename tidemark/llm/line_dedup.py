@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from . import textvec as tv
 from .common import packed, texts
@@ -32,7 +34,8 @@ def _lines(data: np.ndarray, offs: np.ndarray):
     pow_, inv = tv._powers(n + 1)
     sums = np.concatenate(([np.uint64(0)], np.cumsum(tv._code_exact[data] * pow_[:n])))
     h = tv.mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
-    row = np.searchsorted(offs, start, "right") - 1
+    # a text that ends with a feed has an empty last line, which begins where the next text does
+    row = np.repeat(np.arange(len(offs) - 1), 1 + np.diff(np.searchsorted(feed, offs)))
     return row, start, end, h
 
 
@@ -69,27 +72,38 @@ def later_windows(docs: DataFrame, width: int = WINDOW, text: str = "text", doc_
     return w.join(first, "h").where(F.struct("doc_id", "rk", "line") != F.col("first")).select("doc_id", "rk", "line")
 
 
+def without_lines(text: pa.Array, at: pa.Array, width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The texts without the lines that the windows at the line numbers ``at`` cover, their numbers of lines before, and of those removed."""
+    pieces, n_lines, n_gone = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    flat, bounds = at.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False))))
+    for lo, hi, data, offs in tv.chunks(text):
+        row, start, end, _ = _lines(data, offs)
+        first = np.searchsorted(row, np.arange(hi - lo + 1))
+        listed = np.repeat(first[:-1], np.diff(bounds[lo : hi + 1])) + flat[bounds[lo] : bounds[hi]]
+        cover = np.zeros(len(row) + 1, np.int64)
+        np.add.at(cover, listed, 1)
+        np.add.at(cover, np.minimum(listed + width, first[np.searchsorted(first, listed, "right")]), -1)
+        gone = np.cumsum(cover[:-1]) > 0
+        # of the lines that stay, all but a row's last one keep the line feed behind them
+        kept = np.flatnonzero(~gone)
+        final = np.ones(len(kept), bool)
+        final[:-1] = row[kept[1:]] != row[kept[:-1]]
+        size = end[kept] - start[kept] + ~final
+        total = np.zeros(hi - lo, np.int64)
+        np.add.at(total, row[kept], size)
+        pieces.append(tv.binary(np.append(data, np.uint8(10))[tv.expand(start[kept], size)], np.cumsum(total)).cast(pa.string()))
+        n_lines.append(np.diff(first))
+        n_gone.append(np.bincount(row[gone], minlength=hi - lo))
+    return pa.concat_arrays(pieces or [pa.array([], pa.string())]), np.concatenate(n_lines), np.concatenate(n_gone)
+
+
 def _cut(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts_, counts, gone_ = [], [], []
-            for text, at in zip(b.column("text").to_pylist(), b.column("at")):
-                lines = text.split("\n")
-                counts.append(len(lines))
-                if at.is_valid:
-                    gone = np.zeros(len(lines) + 1, np.int32)
-                    at = at.values.to_numpy()
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, np.minimum(at + width, len(lines)), -1)
-                    keep = np.cumsum(gone[:-1]) == 0
-                    gone_.append(len(lines) - int(keep.sum()))
-                    text = "\n".join(x for x, k in zip(lines, keep) if k)
-                else:
-                    gone_.append(0)
-                texts_.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts_, pa.string()), pa.array(counts, pa.int64()), pa.array(gone_, pa.int64())], schema=schema)
+            text, lines, gone = without_lines(b.column("text"), b.column("at"), width)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), text, pa.array(lines), pa.array(gone)], schema=schema)
 
     return run
 
@@ -110,18 +124,32 @@ def dedup_lines(docs: DataFrame, width: int = WINDOW, text: str = "text", doc_id
     return d.join(_removed(docs, width, text, doc_id), ["doc_id", "rk"], "left").select("doc_id", "text", "at").mapInArrow(_cut(width), "doc_id long, text string, n_lines long, n_removed long")
 
 
-def clean(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents, all rows and columns of them, with ``text`` as :func:`dedup_lines` leaves it, in plain SQL functions.
+def clean(docs: DataFrame, width: int = WINDOW, emptied: bool = True) -> DataFrame:
+    """The documents, all columns of them, with ``text`` as :func:`dedup_lines` leaves it.
 
-    ``n_chars``, where there is one, is counted again.  Rows without id or text stay as they are.
+    ``n_chars``, where there is one, is counted again.  Rows without id or text stay as they are.  Documents all of
+    whose lines repeat earlier ones stay as empty texts, or go if ``emptied`` is false.
     """
     gone = _removed(docs, width, "text", "doc_id").withColumnRenamed("doc_id", "id")
-    kept = F.expr(f"array_join(filter(split(row.text, '\\n', -1), (x, i) -> not exists(at, p -> i >= p and i < p + {width})), '\\n')")
-    row = F.col("row").withField("text", kept)
+    cut = packed(docs).join(gone, ["id", "rk"], "left").select(F.col("row.text").cast("string").alias("text"), "at", "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            touched = b.column("at").is_valid()
+            where = pa.array(np.flatnonzero(touched.to_numpy(zero_copy_only=False)))
+            text, lines, removed = without_lines(b.column("text").cast(pa.string()).take(where), b.column("at").take(where), width)
+            empty = np.zeros(b.num_rows, bool)
+            empty[where.to_numpy()] = lines == removed
+            yield pa.RecordBatch.from_arrays([pc.replace_with_mask(b.column("text").cast(pa.string()), touched, text), touched, pa.array(empty), b.column("row")], names=["kept", "touched", "empty", "row"])
+
+    flags = [StructField("touched", BooleanType()), StructField("empty", BooleanType()), StructField("row", cut.schema["row"].dataType)]
+    done = cut.mapInArrow(run, StructType([StructField("kept", StringType()), *flags]))
+    done = done if emptied else done.where("not empty")
+    new = {"text": F.col("kept").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length(kept).cast(docs.schema["n_chars"].dataType))
-    joined = packed(docs).join(gone, ["id", "rk"], "left")
-    return joined.select(F.when(F.col("at").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
+        new["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType)
+    own = lambda c: F.col(f"row.`{c}`")
+    return done.select(*[F.when(F.col("touched"), new[c]).otherwise(own(c)).alias(c) if c in new else own(c).alias(c) for c in docs.columns])
 
 
 SQL = """

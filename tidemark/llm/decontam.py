@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import packed, texts
 
-GRAM, RARE, THRESHOLD, ITEMS = 3, 1e-3, 0.5, 200_000
+GRAM, RARE, THRESHOLD, WORDS = 3, 1e-3, 0.5, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -50,10 +50,7 @@ class Seeds:
     def __init__(self, ids: list[int], text: list[str], gram: int):
         w = tv.words(*_joined(text))
         self.gram, self.ids, self.first, self.words = gram, np.array(ids, np.int64), w.first, w.hash
-        n = np.diff(w.first)
-        self.item = np.flatnonzero(n >= 1)
-        # items shorter than an n-gram are one n-gram as a whole
-        self.n = n
+        self.n = np.diff(w.first)
         at = np.flatnonzero(tv.fits(w, gram)) if len(w.row) >= gram else np.zeros(0, np.int64)
         g = tv.grams(w, gram)[at] if len(at) else np.zeros(0, np.uint64)
         order = np.argsort(g, kind="stable")
@@ -177,40 +174,48 @@ def _pass(spark: SparkSession, d: DataFrame, n_docs: int, rows: list, gram: int,
         return None
     s.table()
     counted = spark.sparkContext.broadcast(s)
-    df = {r[0]: r[1] for r in d.select("text").mapInArrow(_count(counted), "g long, n long").groupBy("g").agg(F.sum("n")).collect()}
-    count = np.array([df.get(int(g), 0) for g in s.key.view(np.int64)])
+    df = d.select("text").mapInArrow(_count(counted), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).toArrow()
+    key, n = df.column("g").to_numpy().view(np.uint64), df.column("n").to_numpy()
+    counted.unpersist()
+    order = np.argsort(key)
+    at = np.minimum(np.searchsorted(key, s.key, sorter=order), max(len(key) - 1, 0))
+    count = np.where(key[order][at] == s.key, n[order][at], 0) if len(key) else np.zeros(len(s.key), np.int64)
     s.keep(count > 0, count <= max(1, rare * n_docs))
     if not len(s.key):
         return None
     return d.mapInArrow(_align(spark.sparkContext.broadcast(s), threshold), "doc_id long, rk long, item_id long, score double, end_word long")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rare: float = RARE, threshold: float = THRESHOLD, items: int = ITEMS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rare: float = RARE, threshold: float = THRESHOLD, words: int = WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Documents that hold a test item or an edited copy of it: (doc_id, rk, item_id, score, end_word).
 
     ``score`` is the best alignment's share of the full score, ``threshold`` the least that is reported; ``end_word``
     the number of the document's word after the aligned passage; of equal scores the first passage counts.  All
     n-grams of ``gram`` words are seeds, whatever their number; those in at most a share ``rare`` of the documents need
-    no count of words before the alignment.  A copy without ``gram`` words in a row of the item isn't found.  The benchmark is gone through
-    ``items`` at a time, so that what is broadcast stays bounded.  Rows without id or text, and items of fewer than
-    ``gram`` words, match nothing; repeated rows, items or documents, are reported once per id; other columns play no
-    part.
+    no count of words before the alignment.  A copy without ``gram`` words in a row of the item isn't found.
+    Seeds meet the passages' n-grams in a broadcast join.  The benchmark is gone through in parts of at most ``words``
+    words (one longer item is a part of its own), some 40 bytes each where they are broadcast, so that their size is
+    bounded whatever the benchmark's is.  Rows without id or text, and items of fewer than ``gram`` words, match
+    nothing; repeated rows, items or documents, are reported once per id; other columns play no part.
     """
     spark = docs.sparkSession
     d = texts(docs, text, doc_id).withColumn("rk", F.xxhash64("text"))
     out = spark.createDataFrame([], "doc_id long, rk long, item_id long, score double, end_word long")
-    n_docs, held = None, []
+    n_docs, held, n_words = None, [], 0
     tests = texts(benchmark, "text", "item_id").distinct().orderBy("doc_id", "text")
 
     def add(out: DataFrame, rows: list) -> DataFrame:
         found = _pass(spark, d, n_docs, rows, gram, rare, threshold)
         return out if found is None else out.unionByName(found)
 
-    for r in tests.toLocalIterator():
-        held.append(r)
+    # the number of runs of word characters, at most one more than that of the gaps between them
+    sized = tests.withColumn("n", F.length(F.regexp_replace("text", "[0-9A-Za-z\\x{80}-\\x{10FFFF}]+", "")) + 1)
+    for r in sized.toLocalIterator():
         n_docs = d.count() if n_docs is None else n_docs
-        if len(held) == items:
-            out, held = add(out, held), []
+        if held and n_words + r["n"] > words:
+            out, held, n_words = add(out, held), [], 0
+        held.append(r)
+        n_words += r["n"]
     if held:
         out = add(out, held)
     best = F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("best")

@@ -101,18 +101,40 @@ def _ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], names=["pair", "n"])
 
 
-def train(docs: DataFrame, samples: int = 6000, seed: int = 11) -> np.ndarray:
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = np.zeros((2, 128, 128), np.int64)
+    for b in batches:
+        for text, secret in zip(b.column("text").to_pylist(), b.column("secret").to_pylist()):
+            out[int(secret)] += transitions([text]).astype(np.int64)
+    label, pair = np.nonzero(out.reshape(2, -1))
+    yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(out.reshape(2, -1)[label, pair])], names=["label", "pair", "n"])
+
+
+def sample_counts(samples: DataFrame) -> np.ndarray:
+    """Transitions of ordinary and of secret strings, from labelled samples (text, secret); rows that lack either are left out."""
+    out = np.zeros((2, 128 * 128))
+    d = samples.select(F.col("text").cast("string"), F.col("secret").cast("boolean")).where("text is not null and text <> '' and secret is not null")
+    for label, pair, n in d.mapInArrow(_labelled, "label int, pair int, n long").groupBy("label", "pair").agg(F.sum("n")).collect():
+        out[label, pair] = n
+    return out.reshape(2, 128, 128)
+
+
+def train(docs: DataFrame, samples: DataFrame | int = 6000, seed: int = 11) -> np.ndarray:
     """The ratio of the two models' log probabilities, by character and next one.
 
-    The corpus counts cover all documents; what reaches the driver is a matrix of fixed size.  The generated
-    identifiers weigh as much as the corpus.
+    ``samples``: labelled strings (text, secret), or how many of each kind to generate, which is for want of any.  A
+    kind of which there are no samples is generated too.  The words of all documents are ordinary strings besides, and
+    weigh as much as those labelled so; what reaches the driver are matrices of fixed size.
     """
     own = np.zeros(128 * 128)
     for pair, n in docs.select("text").mapInArrow(_ordinary, "pair int, n long").groupBy("pair").agg(F.sum("n")).collect():
         own[pair] = n
-    made = transitions(identifiers(samples, seed))
+    n_made = 6000 if isinstance(samples, DataFrame) else samples
+    plain, secret = sample_counts(samples) if isinstance(samples, DataFrame) else (np.zeros((128, 128)),) * 2
+    made = plain if plain.any() else transitions(identifiers(n_made, seed))
+    secret = secret if secret.any() else transitions(random_strings(n_made, seed))
     ordinary = made / made.sum() + own.reshape(128, 128) / max(1.0, own.sum())
-    return model(transitions(random_strings(samples, seed))) - model(ordinary * made.sum())
+    return model(secret) - model(ordinary * made.sum())
 
 
 def ratio(tokens: list[str], llr: np.ndarray) -> np.ndarray:
@@ -176,14 +198,15 @@ def _find(llr, least: int, odds: float):
     return run
 
 
-def find_secrets(docs: DataFrame, least: int = LEAST, odds: float = ODDS, text: str = "text", doc_id: str = "doc_id", llr: np.ndarray | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, least: int = LEAST, odds: float = ODDS, text: str = "text", doc_id: str = "doc_id", llr: np.ndarray | None = None, samples: DataFrame | int = 6000) -> DataFrame:
     """(doc_id, start, end, token, score) of the random strings; offsets count characters, half open.
 
     A candidate is a run of at least ``least`` ASCII letters, digits and ``+/=_-``.  Its stretch of at
     least ``least`` characters with the greatest log-likelihood ratio is reported if that is above ``odds`` and a letter
     is in it; what is left on either side is a candidate again.  Numbers are no candidates; characters outside ASCII end a run.
-    Rows without id or text give nothing; repeated rows are reported each; other columns play no part.
+    Rows without id or text give nothing; repeated rows are reported each; other columns play no part.  ``samples``: what
+    the models are trained from, see :func:`train`; ``llr``: trained ones.
     """
     d = texts(docs, text, doc_id)
-    llr = train(d) if llr is None else llr
+    llr = train(d, samples) if llr is None else llr
     return d.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(llr), least, odds), "doc_id long, start long, end long, token string, score double")

@@ -66,6 +66,47 @@ def test_repeated_spans(spark, op):
     assert op(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("op, small", [(suffix_array.repeated_spans, {"block_rows": 10}), (suffix_tree.repeated_spans, {"group_rows": 5}), (suffix_array.repeated_spans, {"hot_rows": 3}), (suffix_tree.repeated_spans, {"hot_rows": 3, "group_rows": 2})])
+def test_repeated_spans_in_small_groups_and_hot_ones(spark, op, small):
+    """Many blocks, all levels of prefixes, and passages too frequent for a block: the spans stay the same."""
+    r = np.random.Generator(np.random.PCG64(21))
+    shared = [words(int(n), 900 + i) for i, n in enumerate(r.integers(50, 120, 12))]
+    rows = [(i, " ".join([words(int(r.integers(0, 30)), 2000 + i), shared[int(r.integers(0, 12))], words(int(r.integers(0, 30)), 3000 + i), shared[0] if i % 3 == 0 else "", SHARED if i % 4 == 0 else words(20, 4000 + i)])) for i in range(80)]
+    assert sorted(tuple(x) for x in op(frame(spark, rows + ROWS), **small).collect()) == sorted(set(brute_spans(rows + ROWS, 50)))
+
+
+@pytest.mark.parametrize("op", [suffix_array.repeated_spans, suffix_tree.repeated_spans])
+def test_one_passage_in_very_many_documents(spark, op):
+    """A passage in 20,000 documents, each with words of its own around it, stays out of any one task."""
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id"), F.lit(SHARED), F.concat(F.lit("c"), "id")).alias("text"))
+    got = op(d, hot_rows=1_000).agg(F.count(F.lit(1)).alias("n"), F.min("start_word").alias("a"), F.max("start_word").alias("b"), F.min("end_word").alias("c"), F.max("end_word").alias("d")).first()
+    assert tuple(got) == (20_000, 2, 2, 72, 72)
+
+
+def test_tree_nodes():
+    """Depth, ends and parents of the internal nodes, against all sets of suffixes that share a prefix."""
+    r = np.random.Generator(np.random.PCG64(4))
+    right = r.integers(1, 3, (60, 7)).astype(np.uint32)
+    right[40:] = right[:20]
+    group = r.integers(0, 2, 60).astype(np.int64)
+    order, depth = suffix_tree.leaves(right, group)
+    t = suffix_tree.nodes(depth, 2)
+    rows = [(int(group[k]), tuple(right[k].tolist())) for k in order]
+    want = set()
+    for n in range(2, 8):
+        by = defaultdict(list)
+        for k, (g, x) in enumerate(rows):
+            by[g, x[:n]].append(k)
+        for members in by.values():
+            if len(members) > 1 and (n == 7 or len({rows[k][1][: n + 1] for k in members}) > 1):
+                want.add((members[0], members[-1], n))
+    got = list(zip(t.first.tolist(), t.last.tolist(), t.depth.tolist()))
+    assert set(got) == want and len(got) == len(want)
+    for k, (a, b, n) in enumerate(got):
+        around = [x for x in got if x[0] <= a and x[1] >= b and x[2] < n]
+        assert (t.parent[k] < 0 and not around) or got[t.parent[k]] == max(around, key=lambda x: x[2])
+
+
 def test_bounded_prefixes():
     for seed in range(5):
         text = np.append(np.random.Generator(np.random.PCG64(seed)).integers(0, 3, 200), 9)
@@ -108,6 +149,16 @@ def test_line_dedup_brute(spark):
     assert {x.doc_id: (x.text, x.n_chars) for x in cleaned.collect()} == {i: (t, len(t)) for i, t in want.items()}
 
 
+def test_line_dedup_of_many_lines_and_last_feeds(spark):
+    """Texts that end with line feeds don't shift the lines of the next one; a text of very many repeated lines is no square."""
+    a = "one line here\nsecond line there\nthird of them\n"
+    rows = [(1, a), (2, ""), (3, "x\n\n"), (4, "own\n" + a), (5, "y"), (6, "same line\n" * 60_000 + "end"), (7, a)]
+    got = {x.doc_id: (x.text, x.n_lines, x.n_removed) for x in line_dedup.dedup_lines(frame(spark, rows).coalesce(1)).collect()}
+    assert got == {1: (a, 4, 0), 2: ("", 1, 0), 3: ("x\n\n", 3, 0), 4: ("own", 5, 4), 5: ("y", 1, 0), 6: ("same line\nend", 60_001, 59_999), 7: ("", 4, 4)}
+    assert {x.doc_id: x.text for x in line_dedup.clean(frame(spark, rows)).collect()} == {k: v[0] for k, v in got.items()}
+    assert {x.doc_id for x in line_dedup.clean(frame(spark, rows), emptied=False).collect()} == {1, 2, 3, 4, 5, 6}
+
+
 def test_line_clean_keeps_rows(spark):
     out = line_dedup.clean(frame(spark, ROWS)).collect()
     assert len(out) == len(ROWS)
@@ -128,8 +179,10 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0 and simhash.one_of_each(frame(spark, [])).count() == 0
 
 
-def test_simhash_is_exact(spark):
-    """All pairs of signatures within the distances are joined: the pigeonhole loses none."""
+@pytest.mark.parametrize("options", [{}, {"ratio": 2.5}, {"parts": 5}, {"block_rows": 40}, {"block_rows": 7, "ratio": 2.0}])
+def test_simhash_is_exact(spark, options):
+    """All pairs of signatures within the distances are joined: the pigeonhole loses none, hot keys in blocks and wide bands neither."""
+    ratio = options.get("ratio", simhash.RATIO)
     r = np.random.Generator(np.random.PCG64(9))
     rows = []
     for g in range(40):
@@ -151,19 +204,60 @@ def test_simhash_is_exact(spark):
     bits = lambda x: bin(x & (2**64 - 1)).count("1")
     for a, b in combinations(sorted(sig), 2):
         d1, d2 = bits(a[2] ^ b[2]), bits(a[3] ^ b[3])
-        if d1 <= simhash.DISTANCE and d1 + d2 <= simhash.CHECK and max(a[1], b[1]) <= simhash.RATIO * min(a[1], b[1]):
+        if d1 <= simhash.DISTANCE and d1 + d2 <= simhash.CHECK and max(a[1], b[1]) <= ratio * min(a[1], b[1]):
             ra, rb = sorted((find(a[0]), find(b[0])))
             root[rb] = ra
     want = defaultdict(set)
     for s in sig:
         want[find(s[0])].add(s[0])
     got = defaultdict(set)
-    for x in simhash.near_duplicates(d).collect():
+    for x in simhash.near_duplicates(d, **options).collect():
         got[x.group_id].add(x.doc_id)
     assert got == {k: v for k, v in want.items() if len(v) > 1}
     assert got
 
 
+def test_simhash_parameters():
+    for bad in ({"parts": 3}, {"ratio": 0.5}, {"distance": 65}):
+        with pytest.raises(ValueError):
+            simhash.near_duplicates(None, **bad)
+
+
+def test_probes_meet_in_every_size_band():
+    """Any two sizes within the ratio share a band, however many bands the ratio spans."""
+    size = np.arange(2, 400, 3, dtype=np.int32)
+    one = np.ones(len(size), np.int64)
+    b = pa.RecordBatch.from_arrays([pa.array(size), pa.array(one), pa.array(one)], names=["size", "s1", "s2"])
+    parts, held = [list(range(16 * k, 16 * k + 16)) for k in range(4)], defaultdict(set)
+    for out in simhash._probes(parts, [0, -1, -1, -1], 2.5, {})(iter([b])):
+        for g, rs in zip(out.column("g").to_pylist(), out.column("rs").to_pylist()):
+            held[rs & ((1 << 29) - 1)].add(g)
+    assert all(held[x] & held[y] for x, y in combinations(size.tolist(), 2) if max(x, y) <= 2.5 * min(x, y))
+
+
+@pytest.mark.parametrize("role", [0, 1])
+def test_a_large_group_is_searched_by_reaching_out(role):
+    """More than 512 members under one key, close and far ones, of one kind and of two that meet each other."""
+    r = np.random.Generator(np.random.PCG64(8))
+    centre = r.integers(0, 1 << 62, 6)
+    s1 = centre[r.integers(0, 6, 1500)]
+    for _ in range(2):
+        s1 = s1 ^ (np.int64(1) << r.integers(0, 62, 1500))
+    s1 = np.unique(s1)
+    s2 = np.zeros(len(s1), np.int64)
+    kinds = np.sort(r.integers(1, 3, len(s1))) if role else np.zeros(len(s1), np.int64)
+    rs = (kinds << 29 | 50).astype(np.int32)
+    b = pa.RecordBatch.from_arrays([pa.array(np.full(len(s1), 5)), pa.array(rs), pa.array(s1), pa.array(s2)], names=["g", "rs", "s1", "s2"])
+    node = simhash.node_of(s1, s2, np.full(len(s1), 50))
+    at = {int(x): k for k, x in enumerate(node)}
+    i, j = np.nonzero(np.triu(np.bitwise_count((s1[:, None] ^ s1[None, :]).view(np.uint64)) <= 4, 1))
+    ok = np.ones(len(i), bool) if not role else kinds[i] != kinds[j]
+    want = simhash.local_roots(len(s1), i[ok], j[ok])
+    edges = [(at[x], at[y]) for out in simhash._links(4, 22, 1.25, 10)(iter([b])) for x, y in zip(out.column("a").to_pylist(), out.column("b").to_pylist())]
+    got = simhash.local_roots(len(s1), np.array([x for x, _ in edges]), np.array([y for _, y in edges]))
+    assert (got == want).all() and len(set(want.tolist())) < len(s1)
+
+
 def test_thresholds_add_up():
     pairs = [np.cumsum(np.arange(17.0)) for _ in range(4)]
     t = simhash.allocate(pairs, [16] * 4, 1000, 10)
@@ -220,6 +314,16 @@ def test_decontamination_of_copies_that_many_hold(spark):
     assert got == want and {(0, 0), (59, 0), (100, 1), (200, 1), (201, 1), (203, 2)} <= set(want) and (202, 1) not in want
 
 
+def test_decontamination_in_parts(spark):
+    """A benchmark gone through a few words at a time finds what it finds at once; a very long item is a part of its own."""
+    items = [(i, words(30, 4000 + i)) for i in range(7)] + [(9, words(3_000, 4100))]
+    rows = [(i, words(20, 5000 + i) + " " + t + " " + words(20, 5100 + i)) for i, t in items]
+    bench, d = spark.createDataFrame(items, "item_id long, text string"), frame(spark, rows)
+    whole = {(x.doc_id, x.item_id): x.score for x in decontam.leaks(d, bench).collect()}
+    assert whole == {(i, i): 1.0 for i, _ in items}
+    assert {(x.doc_id, x.item_id): x.score for x in decontam.leaks(d, bench, words=65).collect()} == whole
+
+
 def test_smith_waterman():
     r = np.random.Generator(np.random.PCG64(2))
     a, b = r.integers(0, 4, (30, 12)).astype(np.uint64), r.integers(0, 4, (30, 20)).astype(np.uint64)
@@ -235,6 +339,51 @@ def test_secrets(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_secrets_against_every_stretch(spark):
+    """The models counted in loops and every stretch of every run tried, on a few texts; repeated rows and a very long run too."""
+    r = np.random.Generator(np.random.PCG64(15))
+    key = lambda n: "".join(secrets._ALPHABETS[3][i] for i in r.integers(0, 62, n))
+    rows = [(1, f"token={key(32)}; getUserNameFromList"), (1, f"token={key(20)}"), (2, f"/usr/share/{key(24)}/item-list {key(18)}"), (3, "plain words only and some_long_identifier_name_here"), (4, "=" * 300), (5, "ü" + key(40) + "ß")]
+    rows += [rows[0], (6, "x" * 5_000 + " end")]
+    samples = spark.createDataFrame([(key(30), True) for _ in range(300)] + [(x, False) for x in secrets.identifiers(300, 5)] + [(None, True), ("lone", None)], "text string, secret boolean")
+    count = {k: defaultdict(float) for k in ("plain", "secret", "corpus")}
+    put = lambda kind, t: [count[kind].__setitem__((a, b), count[kind][a, b] + 1) for a, b in zip([0, *(min(x, 127) for x in t)], (min(x, 127) for x in t))]
+    for x in samples.where("text is not null and secret is not null").collect():
+        put("secret" if x.secret else "plain", x.text.encode())
+    for _, t in rows:
+        for run in re.findall(rb"[0-9A-Za-z+/=_\-\x80-\xff]+", t.encode()):
+            if len(run) >= 4 and re.fullmatch(rb"[A-Za-z\x80-\xff]+", run):
+                put("corpus", run)
+    usable = sorted({min(x, 127) for x in [*b"0123456789+/=_-", *range(65, 91), *range(97, 123), 200]})
+    n, m = sum(count["plain"].values()), max(1.0, sum(count["corpus"].values()))
+    ordinary = lambda a, b: (count["plain"][a, b] / n + count["corpus"][a, b] / m) * n
+    cache = {}
+
+    def gain(a, b):
+        if a not in cache:
+            both = [[(f(a, c) if c in usable else -0.5 + 1e-9) + 0.5 for c in range(128)] for f in (lambda a, c: count["secret"][a, c], ordinary)]
+            cache[a] = [np.log(x / np.sum(x)) for x in both]
+        return cache[a][0][b] - cache[a][1][b]
+
+    def best(run):
+        out = []
+        if len(run) >= secrets.LEAST:
+            score, i, j = max(((gain(0, run[i]) + sum(gain(a, b) for a, b in zip(run[i:j], run[i + 1 : j])), -i, -j) for i in range(len(run)) for j in range(i + secrets.LEAST, len(run) + 1)))
+            i, j = -i, -j
+            if score > secrets.ODDS:
+                out = [(i, j, score), *best(run[:i]), *((a + j, b + j, x) for a, b, x in best(run[j:]))]
+        return out
+
+    want = []
+    for d, t in rows:
+        if len(t) < 1_000:
+            for m_ in re.finditer(r"[0-9A-Za-z+/=_-]+", t):
+                want += [(d, m_.start() + i, m_.start() + j, round(x, 3)) for i, j, x in best(list(m_[0].encode())) if re.search("[A-Za-z]", m_[0][i:j])]
+    got = [(x.doc_id, x.start, x.end, round(x.score, 3)) for x in secrets.find_secrets(frame(spark, rows), samples=samples).collect() if x.doc_id != 6]
+    assert len(got) == len(want) >= 4
+    assert all(a[:3] == b[:3] and abs(a[3] - b[3]) < 2e-3 for a, b in zip(sorted(got), sorted(want)))
+
+
 def test_secrets_beside_characters_outside_ascii(spark):
     key = "AKx9Qz7Lp2Rt5Vb8Nc1Wd4Ye6Hf3Jg0"
     around = [("«", "»"), ("“", "”"), ("clé\u00a0", "\u00a0fin"), ("→", "—"), ("密钥：", "。"), ("这是密钥", "请保密")]
@@ -305,6 +454,10 @@ def test_neighbours_recall_beyond_the_window(spark):
     for x in neighbours.nearest(t, window=128, part_rows=4000).collect():
         got[x.vec_id].add(x.neighbour)
     assert sum(len(got[i] & set(want[i].tolist())) for i in range(3000)) / 30_000 >= 0.9
+    some = defaultdict(set)
+    for x in neighbours.nearest(t, window=20, part_rows=4000, queries=50).collect():  # a share of the table, not 20 rows
+        some[x.vec_id].add(x.neighbour)
+    assert set(some) == set(range(0, 3000, 50)) and sum(len(some[i] & set(want[i].tolist())) for i in some) / (10 * len(some)) >= 0.9
 
 
 def test_neighbours_recall_where_windows_cover_little(spark):
@@ -317,7 +470,7 @@ def test_neighbours_recall_where_windows_cover_little(spark):
     np.fill_diagonal(s, -9)
     want = np.argsort(-s, axis=1)[:, :10]
     got = defaultdict(set)
-    for x in neighbours.nearest(t, window=4, part_rows=8000).collect():
+    for x in neighbours.nearest(t, window=4, part_rows=8000, index=True).collect():
         got[x.vec_id].add(x.neighbour)
         assert abs(x.similarity - s[x.vec_id, x.neighbour]) < 1e-6
     assert sum(len(got[i] & set(want[i].tolist())) for i in range(4000)) / 40_000 >= 0.9
@@ -413,6 +566,60 @@ def test_quality(spark):
     assert quality.accepted(d.where("false"), lab).count() == 0
 
 
+def plain_features(t):
+    """The classifier's features, in plain Python: words and signs, their pairs, their first letters, and what they look like."""
+    low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x)
+    seq = re.findall(r"[0-9A-Za-z\u0080-\U0010FFFF]+|[^0-9A-Za-z\u0080-\U0010FFFF\t-\r ]+", t)
+    word = [low(x) for x in seq]
+
+    def shape(x):
+        if not re.match(r"[0-9A-Za-z\u0080-\U0010FFFF]", x):
+            return x
+        return 4 if x[0] in "0123456789" else 3 if len(x.encode()) > 1 and re.fullmatch("[A-Z]+", x) else 2 if x[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 1
+
+    out = set()
+    for name, s, orders in (("w", word, (1, 2)), ("s", [shape(x) for x in seq], (1, 2, 3)), *((f"p{k}", [low(x.encode()[:k].decode("latin1")) for x in seq], (1,)) for k in quality.PREFIXES)):
+        for k in orders:
+            out |= {(name, k, *s[i : i + k]) for i in range(len(s) - k + 1)}
+    return out
+
+
+def test_quality_against_plain_python(spark):
+    """Features as strings, counts in loops and a slow descent to a tight tolerance give the same decisions and nearly the same scores."""
+    rows, labs = labelled(90)
+    rows = [(i, t + (" ALSO" if i % 4 else " 42!?")) for i, t in rows]
+    own = [plain_features(t) for _, t in rows]
+    lab = spark.createDataFrame(labs[:60], "doc_id long, quality int, toxic int")
+    model = quality.train(frame(spark, rows), lab, tolerance=1e-4)
+    got = {r.doc_id: (r.quality_score, r.toxic_score) for r in quality.score(frame(spark, rows), model).collect()}
+    for head, sign, good in ((0, 1, lambda x: x[1] == 1), (1, -1, lambda x: x[2] == 0)):
+        y = np.array([1 if good(x) else -1 for x in labs[:60]])
+        pos, neg = Counter(), Counter()
+        for f, c in zip(own, y):
+            (pos if c > 0 else neg).update(f)
+        kinds = sorted(set(pos) | set(neg), key=repr)
+        total = 1 << quality.BITS  # every slot is smoothed, used or not
+        np_, nn = sum(pos.values()) + total, sum(neg.values()) + total
+        ratio = {f: np.log((pos[f] + 1) / np_) - np.log((neg[f] + 1) / nn) for f in kinds if pos[f] + neg[f] >= 4}
+        used = [[f for f in x if f in ratio] for x in own]
+        at = {f: i for i, f in enumerate(ratio)}
+        x = np.zeros((60, len(at) + 1))
+        for i in range(60):
+            for f in used[i]:
+                x[i, at[f]] = ratio[f] / np.sqrt(max(1, len(used[i])))
+        x[:, -1] = 1
+        cost = np.array([60 / (2 * (y == c).sum()) for c in y])
+        alpha, w = np.zeros(60), np.zeros(len(at) + 1)
+        for _ in range(4_000):
+            for i in range(60):
+                a = min(max(alpha[i] - (y[i] * (w @ x[i]) - 1) / (x[i] @ x[i]), 0), cost[i])
+                w += (a - alpha[i]) * y[i] * x[i]
+                alpha[i] = a
+        for (i, _), f, u in zip(rows, own, used):
+            want = sign * (sum(w[at[k]] * ratio[k] for k in u) / np.sqrt(max(1, len(f))) + w[-1])
+            assert abs(got[i][head] - want) < 0.03, (i, head, got[i][head], want)
+
+
 def test_dual_coordinate_descent_finds_the_optimum():
     r = np.random.Generator(np.random.PCG64(3))
     dense = r.integers(0, 2, (60, 8)).astype(float)

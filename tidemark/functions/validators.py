@@ -95,7 +95,8 @@ def ipv4(c: Column) -> Column:
 
 
 def web_url(c: Column) -> Column:
-    return c.rlike(r"(?i)^https?://([^\s/@]+@)?[^\s/:?#.]+(\.[^\s/:?#.]+)*\.[^\s/:?#.]{2,}([:/?#]\S*)?$")
+    whole = F.when(F.contains(c, F.lit("://")), c).otherwise(F.concat(F.lit("http://"), c))
+    return whole.rlike(r"(?i)^https?://([^\s/@]+@)?[^\s/:?#.]+(\.[^\s/:?#.]+)*\.[^\s/:?#.]{2,}([:/?#]\S*)?$")
 
 
 def _degrees(c: Column, letters: str, most: int) -> Column:
@@ -111,17 +112,27 @@ def longitude(c: Column) -> Column:
     return _degrees(c, "EW", 180)
 
 
-DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "M/d/yyyy", "M/d/yy", "yyyyMMdd")
+DATE_FORMATS = ("y-M-d", "M/d/yy", "M/d/y", "d/M/yy", "d/M/y", "M-d-yy", "M-d-y", "d-M-yy", "d-M-y", "MMM d y", "d MMM y", "MMM y", "y/M/d", "d.M.y", "yyyyMMdd")
+_NO_YEAR = r"^[A-Z][a-z]{2} \d{1,2}$"
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
 def to_date(c: Column) -> Column:
     """The date that one of the known formats reads in the value, else null; never depends on today."""
     s = F.regexp_replace(F.trim(c), r"(?i)(?<=\d)(st|nd|rd|th)\b", "")
-    return F.coalesce(*(F.try_to_timestamp(s, F.lit(f)).cast("date") for f in DATE_FORMATS))
+    # a time of day after the date, commas, "of" and all but the first letters of a month say nothing about the day
+    s = F.regexp_replace(s, r"(?i)(\s+at)?[\sT]+\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s*[ap]\.?m\.?)?(\s*[a-z]{1,5})?$", "")
+    s = F.trim(F.regexp_replace(F.regexp_replace(s, r"(?i)\bof\b|,", " "), r"\s+", " "))
+    month = F.lower(F.regexp_extract(s, rf"(?i)\b({'|'.join(_MONTHS)})[a-z]*", 1))
+    s = F.when(month != "", F.regexp_replace(s, rf"(?i)\b({'|'.join(_MONTHS)})[a-z]*\.?", F.initcap(month))).otherwise(s)
+    return F.when(~s.rlike(_NO_YEAR), F.coalesce(*(F.try_to_timestamp(s, F.lit(f)).cast("date") for f in DATE_FORMATS)))
 
 
 def date(c: Column) -> Column:
-    return to_date(c).isNotNull()
+    """A date, or a month and a day of it."""
+    day = F.trim(F.regexp_replace(c, r"(?i)(?<=\d)(st|nd|rd|th)\b", ""))
+    of = F.concat(F.initcap(F.substring(day, 1, 3)), F.lit(" "), F.regexp_extract(day, r"\d{1,2}$", 0), F.lit(" 2000"))
+    return to_date(c).isNotNull() | (day.rlike(rf"(?i)^({'|'.join(_MONTHS)})[a-z]*\.?\s+\d{{1,2}}$") & F.try_to_timestamp(of, F.lit("MMM d y")).isNotNull())
 
 
 def date_year_range(c: Column) -> Column:

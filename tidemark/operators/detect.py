@@ -5,8 +5,10 @@ Texts come as (source_id, row, col, text); a document has null row and col.  Off
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,39 +37,95 @@ def confidence(base: Column, valid: Column, weight: Column, primary: Column) ->
     return F.when(valid.isNull(), base).when(valid, ok).otherwise(bad)
 
 
+#: up to so many patterns are one projection of built-in functions; more of them are one pass in Arrow batches, as the
+#: plan of some hundred patterns takes Spark longer to make than a small table takes to scan
+NATIVE = 16
+MATCHES = "ord int, base double, start int, end int, value string, before string, after string"
+
+
+def _weight(r: Rule, k: int) -> float:
+    own = r.weights[k] if r.weights else None
+    return next(x for x in (own, r.weight, DEFAULT_WEIGHT) if x is not None)
+
+
 def _tagged(ord_: int, base: float) -> Callable[[Column], Column]:
     return lambda s: F.struct(F.lit(ord_).alias("ord"), F.lit(base).cast("double").alias("base"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
 
 
-def scan(texts: DataFrame, rules: tuple[Rule, ...], reach: int = 80) -> DataFrame:
-    """All matches of all patterns, overlapping ones too, with the text around each.
-
-    One projection evaluates every pattern natively; a cheap anchor skips texts that can't match.  The exploded
-    spans meet the rule table by broadcast; what comes back has the validator's outcome and the confidence.
-    """
+def _native(texts: DataFrame, rules: tuple[Rule, ...], reach: int) -> DataFrame:
     at = F.col("text")
     arrays = []
     for i, r in enumerate(rules):
-        for k, p in enumerate(r.patterns):
-            weight = r.weights[k] if r.weights else r.weight
+        for k, p in enumerate(r.native):
             found = T.find_all(at, p)
             if r.anchor:
-                found = F.when(at.rlike(r.anchor), found)
-            arrays.append(F.transform(F.coalesce(found, F.array().cast(f"array<{T.SPAN}>")), _tagged(i, DEFAULT_WEIGHT if weight is None else weight)))
-    spark = texts.sparkSession
-    if not arrays:
-        return _finish(texts.select(*CELL, F.lit(0).alias("ord"), F.lit(0.0).alias("base"), F.lit(0).alias("start"), F.lit(0).alias("end"), "text", F.lit("").alias("before"), F.lit("").alias("after")).where("false"), rules, spark)
-    rows = texts.select(*CELL, "text", F.explode(F.concat(*arrays)).alias("s"))
+                found = F.when(at.rlike("(?U)" + r.anchor), found)
+            arrays.append(F.transform(F.coalesce(found, F.array().cast(f"array<{T.SPAN}>")), _tagged(i, _weight(r, k))))
+    rows = texts.select(*CELL, "text", F.explode(F.array_distinct(F.concat(*arrays))).alias("s"))
     before = F.substring("text", F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach)))
-    return _finish(rows.select(*CELL, "s.ord", "s.base", "s.start", "s.end", F.col("s.text").alias("value"), before.alias("before"), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach)).alias("after")).withColumnRenamed("value", "text"), rules, spark)
+    return rows.select(*CELL, "s.ord", "s.base", "s.start", "s.end", F.col("s.text").alias("value"), before.alias("before"), F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach)).alias("after"))
+
+
+def _matcher(rules: tuple[Rule, ...], reach: int):
+    plan: dict[str | None, list] = {}
+    for i, r in enumerate(rules):
+        for k, p in enumerate(r.patterns):
+            plan.setdefault(r.anchor, []).append((i, _weight(r, k), p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [(a and re.compile(a).search, [(i, w, re.compile(p).finditer) for i, w, p in own]) for a, own in plan.items()]
+        schema = None
+        for b in batches:
+            schema = schema or pa.schema([*(b.schema.field(c) for c in CELL), ("ord", pa.int32()), ("base", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("after", pa.string())])
+            texts = b.column("text")
+            for lo in range(0, b.num_rows, 256):
+                at, found = [], []
+                for row, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
+                    seen = {}
+                    for anchor, own in groups:
+                        if text is None or anchor and not anchor(text):
+                            continue
+                        for i, w, find in own:
+                            for m in find(text):
+                                key = (i, w, *m.span())
+                                seen.setdefault(key, m[0])
+                    for (i, w, s, e), value in seen.items():
+                        at.append(row)
+                        found.append((i, w, s, e, value, text[max(0, s - reach) : s], text[e : e + reach]))
+                if at:
+                    where = pa.array(at)
+                    cols = list(zip(*found))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in CELL), *(pa.array(x, schema.field(len(CELL) + k).type) for k, x in enumerate(cols))], schema=schema)
+
+    return run
+
+
+def scan(texts: DataFrame, rules: tuple[Rule, ...], reach: int = 80, native: bool | None = None) -> DataFrame:
+    """All matches of all patterns, overlapping ones too, with the text around each.
+
+    A cheap anchor skips texts that can't match.  ``native`` evaluates the patterns by built-in functions in one
+    projection, else they are compiled and run over Arrow batches; both find the same.  A span that two patterns of a
+    rule find with one weight comes once.  The spans meet the rule table by broadcast; what comes back has the
+    validator's outcome and the confidence.
+    """
+    spark = texts.sparkSession
+    n = sum(len(r.patterns) for r in rules)
+    if not n:
+        return _finish(texts.select(*CELL, F.lit(0).alias("ord"), F.lit(0.0).alias("base"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("text").alias("value"), F.lit("").alias("before"), F.lit("").alias("after")).where("false").withColumnRenamed("value", "text"), rules, spark)
+    if native or native is None and n <= NATIVE:
+        found = _native(texts, rules, reach)
+    else:
+        cells = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (texts.schema[c] for c in CELL))
+        found = texts.select(*CELL, "text").mapInArrow(_matcher(rules, reach), f"{cells}, {MATCHES}")
+    return _finish(found.withColumnRenamed("value", "text"), rules, spark)
 
 
 def _finish(spans: DataFrame, rules: tuple[Rule, ...], spark) -> DataFrame:
     used = sorted({r.validator for r in rules if r.validator}, key=list(VALIDATORS).index)
     dim = rule_table(spark, rules).select("ord", "entity_id", "entity", "ontology", "validator", "validator_weight", "primary", "not_after", "not_before", "not_like")
     d = spans.join(F.broadcast(dim), "ord")
-    left = F.rtrim(F.lower(F.substring(F.col("before"), -50, 50)))
-    right = F.ltrim(F.lower(F.substring(F.col("after"), 1, 50)))
+    left = F.regexp_replace(F.lower(F.substring(F.col("before"), -50, 50)), r"(?U)\s+$", "")
+    right = F.regexp_replace(F.lower(F.substring(F.col("after"), 1, 50)), r"(?U)^\s+", "")
     d = d.where(~F.exists("not_after", lambda p: F.endswith(left, p)) & ~F.exists("not_before", lambda p: F.startswith(right, p)) & F.coalesce(~F.regexp_like("text", F.col("not_like")), F.lit(True)))
     valid = passes(F.col("validator"), F.col("text"), used) if used else F.lit(None).cast("boolean")
     d = d.withColumn("valid", valid)
@@ -80,6 +138,11 @@ def dedupe(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def ordered(spans: DataFrame) -> DataFrame:
+    """Spans in reading order, the more confident of equal starts first."""
+    return spans.orderBy(*CELL, "start", F.desc("confidence"), "end", "entity_id")
+
+
 def dictionary(texts: DataFrame, terms: DataFrame, most_words: int = 8, base: float = 0.6, reach: int = 80) -> DataFrame:
     """Leftmost-longest matches of a dictionary of surfaces, on whole ASCII words without case.
 
@@ -90,10 +153,11 @@ def dictionary(texts: DataFrame, terms: DataFrame, most_words: int = 8, base: fl
     words = T.find_all(F.lower("text"), "[a-z0-9]+")
     t = texts.select(*CELL, "text", words.alias("w")).where("size(w) > 0")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(n <= F.size("w"), F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.array_join(F.transform(F.slice("w", i + 1, n), lambda x: x["text"]), " ").alias("surface"), F.element_at("w", i + 1)["start"].alias("start"), F.element_at("w", i + n)["end"].alias("end")))).otherwise(F.array())))
-    hits = t.select(*CELL, "text", F.explode(grams).alias("g")).select(*CELL, "text", "g.*").join(terms.dropDuplicates(["surface"]), "surface")
-    hits = hits.groupBy(*CELL, "text").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("rev"), "end", "entity_id", "canonical", "code", "source"))).alias("hits"))
+    # n-grams go to the dictionary without their texts, and hits come back to their cells; texts move once, at the end
+    hits = t.select(*CELL, F.explode(grams).alias("g")).select(*CELL, "g.*").join(terms.dropDuplicates(["surface"]), "surface")
+    hits = hits.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("rev"), "end", "entity_id", "canonical", "code", "source"))).alias("hits"))
     kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]), acc).otherwise(F.array_append(acc, x)))
-    d = hits.select(*CELL, "text", F.explode(F.when(F.size("hits") > 0, kept)).alias("s"))
+    d = beside(texts.select(*CELL, "text"), hits.select(*CELL, F.when(F.size("hits") > 0, kept).alias("kept")), CELL).select(*CELL, "text", F.explode("kept").alias("s"))
     cut = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
     before = F.substring(F.col("text"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach)))
     after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach))

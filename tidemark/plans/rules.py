@@ -1,10 +1,13 @@
 """The rule catalogue: what is looked for, how it is checked, which words around it speak for it, and how severe it is.
 
-Patterns and phrases are this package's own.  Order matters: ties between equal scores go to the earlier rule.
+Order matters: ties between equal scores go to the earlier rule.  A pattern is written such that Python and, with the
+prefix that :attr:`Rule.native` adds, Java find the same matches; an anchor is what every match of a rule contains, so
+that texts without it need no further look.  :mod:`tidemark.plans.rulefile` reads further rules from files.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
@@ -44,6 +47,12 @@ class Rule:
     anchor: str | None = None
     default_action: str = "DEFAULT"
     weights: tuple = field(default=())
+    description: str | None = None
+
+    @property
+    def native(self) -> tuple[str, ...]:
+        """The patterns for Java, where classes and boundaries must be told to know all of Unicode, as Python's do."""
+        return tuple("(?U)" + p for p in self.patterns)
 
     @property
     def ontology(self) -> str:
@@ -55,105 +64,184 @@ class Rule:
 
     @property
     def category(self) -> str:
-        return {"pii": "PII", "phi": "PHI", "fin": "Financial"}[self.ontology]
+        return {"pii": "PII", "phi": "PHI", "fin": "Financial"}.get(self.ontology, self.ontology.upper())
+
+
+_B = r"\b"
+_STEMS = {"Jan": "uary", "Feb": "ruary", "Mar": "ch", "Apr": "il", "May": "", "Jun": "e", "Jul": "y", "Aug": "ust", "Sep": "tember", "Oct": "ober", "Nov": "ember", "Dec": "ember"}
+_LONG, _SHORT, _EITHER = (f"(?:{'|'.join(x)})" for x in ((a + b for a, b in _STEMS.items()), _STEMS, (f"{a}(?:{b})?" if b else a for a, b in _STEMS.items())))
+
+
+def _n(*lengths: int) -> str:
+    """So many digits: exactly, or from and to."""
+    return r"\d{" + ",".join(map(str, lengths)) + "}"
 
 
-def _w(words: str) -> tuple:
-    return tuple(x.strip() for x in words.split(","))
+def _whole(*parts: str, loose: bool = False) -> str:
+    """The parts in a row, as a word of their own; loose: without regard to case."""
+    return ("(?i)" if loose else "") + _B + "".join(parts) + _B
 
 
-_B = r"(?U)\b"
-_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
-_PHONE = r"(?:\+?1[ .-]?)?\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}"
-_DAY = "birthday,dated,on the date,effective date,visit date,admitted on,discharged on,scheduled for,issued on,expires on"
-_PASS = "passport,passport number,travel document,passport no"
+def _any(words: str) -> str:
+    return "(?:" + "|".join(words.split()) + ")"
+
+
+def _w(text: str) -> tuple[str, ...]:
+    """Phrases from a short notation: commas between, [x] may be missing, {a|b} stands for either."""
+    out = []
+    for item in text.split(","):
+        todo = [item.strip()]
+        while todo:
+            x = todo.pop(0)
+            if m := re.search(r"\[([^\]]*)\]|\{([^}]*)\}", x):
+                todo[:0] = [x[: m.start()] + y + x[m.end() :] for y in (["", m[1]] if m[1] is not None else m[2].split("|"))]
+            else:
+                out.append(" ".join(x.split()))
+    return tuple(dict.fromkeys(out))
+
+
+_NEAR = r"(?:(?:about|almost|approximately|around|over)\s+)?"
+_SPAN = r"(?:day|week|month|year)s?"
+_GAP = r"[\s.-]?"
+_PHONE = rf"(?:\+?1{_GAP}|\+1\s*)?(?:{_n(3)}|\({_n(3)}\)){_GAP}{_n(3)}{_GAP}{_n(4)}{_B}"
+_CLOCK = rf"(?:\s+(?:at\s+)?{_n(1, 2)}:{_n(2)}(?::{_n(2)})?(?:\s*(?:A|P)M)?(?:\s+[A-Z][A-Z]{{1,3}})?)?"
+_MDY = r"\s+" + _n(1, 2) + r",?\s+" + _n(4)
+_ISO = "-".join((_n(4), _n(1, 2), _n(1, 2)))
+_SLASHED, _DASHED = (s.join((_n(1, 2), _n(1, 2), _n(2, 4))) for s in "/-")
+_MAIL = "[A-Za-z0-9._%+-]+"
+_DAY = "birth{day| date},dob,date of {birth|death},born[ on],born in,age{ is|d},d{ie|ecease}d,dod,death {date|occurred},expired,passed {away|on},time of death"
+_PASS = "passport[ number],passport no,travel document"
+_LAT = "coordinate[s],geo,gps,location"
 
 PII = [
-    Rule("pii::person_names", D, "PERSON", phrases=_w("full name,patient name,first name,last name,surname,customer name,contact person,signed by"), phrase_weight=0.6, ner_weight=0.5, not_like=(r"\d",)),
-    Rule("pii::email_address", D, "EMAIL", (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",), 0.9, phrases=_w("email,e-mail,mail address,write to"), anchor="@"),
-    Rule("pii::phone_number", D, "PHONE", (_PHONE,), 0.55, "PHONE_US", 0.88, True, _w("phone,telephone,mobile,cell,call me,contact number,tel"), not_after=("fax:", "fax", "account:", "order #"), anchor="[0-9]{3}"),
-    Rule("pii::fax_number", D, "PHONE", (_PHONE,), 0.55, "PHONE_US", 0.88, True, _w("fax,facsimile,fax number"), anchor="[0-9]{3}"),
-    Rule("pii::ssn", D, "SSN", (_B + r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}\b",), 0.85, "US_SSN", phrases=_w("ssn,social security,social security number,taxpayer"), not_after=("order", "invoice", "ref", "part no"), not_before=("kg", "usd"), anchor="[0-9]{4}"),
-    Rule("pii::street_address", D, "STREET_ADDRESS", (r"(?U)\b[0-9]{1,5}\s+(?:[A-Z][a-z]+\s){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Boulevard|Blvd|Way)\b",), 0.65, phrases=_w("address,lives at,residence,street,home address,mailing address"), anchor="[0-9]"),
-    Rule("pii::city", Q, "LOCATION", phrases=_w("city,town,city of,born in,municipality"), part_of="pii::street_address"),
-    Rule("pii::county", Q, "LOCATION", (r"(?U)\b[A-Z][a-z]+ County\b",), 0.6, phrases=("county",), phrase_weight=0.4, anchor="County"),
-    Rule("pii::state", Q, "LOCATION", phrases=_w("state,province,region"), part_of="pii::street_address"),
-    Rule("pii::zip_code", Q, "ZIPCODE", (_B + r"[0-9]{5}(?:-[0-9]{4})?\b",), 0.78, "POSTAL_CODE_FORMAT", phrases=_w("zip,zip code,postal code,postcode,zipcode"), part_of="pii::street_address", before=35, after=10, anchor="[0-9]{5}"),
-    Rule("pii::po_box", D, phrases=_w("po box,p.o. box,post office box")),
-    Rule("pii::latitude_coordinates", Q, "GPS_COORDINATES", (_B + r"[0-9]{1,2}\.[0-9]{3,8}\s?[NS]\b", r"(?U)(?:^|\s)-?[0-9]{1,2}\.[0-9]{4,8}\b"), 0.45, "LATITUDE", phrases=_w("latitude,lat,coordinates,gps,location"), phrase_weight=0.8, weights=(0.7, 0.15), anchor=r"[0-9]\.[0-9]{3}"),
-    Rule("pii::longitude_coordinates", Q, "GPS_COORDINATES", (_B + r"[0-9]{1,3}\.[0-9]{3,8}\s?[EW]\b", r"(?U)(?:^|\s)-?[0-9]{1,3}\.[0-9]{4,8}\b"), 0.15, "LONGITUDE", phrases=_w("longitude,lon,long,coordinates,gps"), phrase_weight=0.8, weights=(0.7, 0.15), anchor=r"[0-9]\.[0-9]{3}"),
-    Rule("pii::dates", Q, "DATE", (_B + r"(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\b", _B + r"[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)?[0-9]{2}\b", _B + _MONTH + r" [0-3]?[0-9],? (?:19|20)[0-9]{2}\b", _B + r"[0-3]?[0-9] " + _MONTH + r" (?:19|20)[0-9]{2}\b"), 0.7, "DATE", phrases=_w(_DAY), ner_weight=0.72, anchor="[0-9]"),
-    Rule("pii::age", Q, "AGE", (r"(?iU)\b[0-9]{1,3}[ -]years?[ -]old\b", r"(?iU)\baged? [0-9]{1,3}\b", r"(?U)\b[0-9]{1,3} ?y/?o\b"), 0.75, phrases=_w("age,years old,aged,year-old"), ner_weight=0.6, weights=(0.9, 0.8, 0.6), anchor="[0-9]"),
-    Rule("pii::timestamps", Q, "TIME", (r"(?iU)\b(?:0?[1-9]|1[0-2]):[0-5][0-9] ?[ap]\.?m\b", r"(?U)\b(?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?\b"), 0.15, "TIMESTAMP", phrases=_w("time,at,o'clock,timestamp,logged"), phrase_weight=0.8, weights=(0.5, 0.3), anchor=":[0-5]"),
-    Rule("pii::relative_date_expressions", N, None, (r"(?iU)\b(?:yesterday|tomorrow|today)\b", r"(?iU)\b(?:last|next|this) (?:week|month|year)\b", r"(?iU)\b[0-9]+ (?:days?|weeks?|months?|years?) ago\b"), 0.5, phrases=_w("since,until,onset,started"), weights=(0.4, 0.5, 0.6)),
+    Rule("pii::person_names", D, "PERSON", phrases=_w("{full |}name,{dr|md|rn},doctor,physician,nurse,attending,provider,client,applicant,claimant,employee,insured,subscriber"), phrase_weight=0.6, ner_weight=0.5, not_like=(_whole(_EITHER, loose=True),)),
+    Rule("pii::email_address", D, "EMAIL", (r"\[?" + _MAIL + r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\]?", _whole(_MAIL, r"\s*(?:\[at\]|\(at\))\s*[A-Za-z0-9.-]+\s*(?:\[dot\]|\(dot\))\s*[A-Za-z]{2,}")), 0.9, phrases=_w("[e]mail,e-mail,{reply|send} to"), anchor=r"@|[\[(]at[\])]"),
+    Rule("pii::phone_number", D, "PHONE", (_PHONE,), 0.55, "PHONE_US", 0.88, True, _w("phone[ number],tel[ephone],mobile,cell,contact[ number],call,reach"), not_after=_w("acct,[{checking|savings} ]account,account number,transfer to[ account]"), anchor=_n(3)),
+    Rule("pii::fax_number", D, "PHONE", (_PHONE,), 0.55, "PHONE_US", 0.88, True, _w("fax[ number],facsimile"), anchor=_n(3)),
+    Rule("pii::ssn", D, "SSN", (_whole("-".join((_n(3), _n(2), _n(4)))),), 0.85, "US_SSN", phrases=_w("ss#,ssn[#],social security[ number]"), not_after=_w("account,customer,emp[loyee],license,medical record,member,mrn"), not_before=_w("digit[s]"), anchor=r"\d-\d"),
+    Rule(
+        "pii::street_address", D, "STREET_ADDRESS",
+        (
+            _whole(r"\d+\s+[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+", _any("St(?:reet)? Ave(?:nue)? Boulevard Blvd Dr(?:ive)? R(?:oa)?d Lane Ln C(?:our)?t Way Pl(?:ace)? Ter(?:race)? Cres(?:cent)? Close Grove Mews Sq(?:uare)? Parkway Pkwy")),
+            _whole(_any(r"Apt\.? Apartment Suite Ste\.? Unit Fl\.? Floor Bldg\.? Building Rm\.? Room"), r"\s+(?=[0-9A-Z-]*\d)[0-9A-Z][0-9A-Z-]*", loose=True),
+        ),
+        0.65, phrases=_w("address,ave[nue],st[reet],road,rd,boulevard,blvd,lane,ln,drive,dr,court,ct,parkway,pkwy,pl[ace],ter[race],cres[cent],close,gr[ove],mews,sq[uare]"), anchor=r"\d",
+    ),
+    Rule("pii::city", Q, "LOCATION", phrases=_w("city[ name],town,locality,municipality,{based|lives|resides} in"), part_of="pii::street_address"),
+    Rule("pii::county", Q, "LOCATION", (_whole(r"[A-Z][A-Za-z]+\s+County"),), 0.6, phrases=("county",), phrase_weight=0.4, anchor="County"),
+    Rule("pii::state", Q, "LOCATION", phrases=_w("state[ {code|name}],province,region"), part_of="pii::street_address"),
+    Rule("pii::zip_code", Q, "ZIPCODE", (_whole(_n(5), "(?:-", _n(4), ")?"),), 0.78, "POSTAL_CODE_FORMAT", phrases=(*_w("zip[ code],postal[ code],address,city,state,suite"), *"al ak az ar ca co ct dc de fl ga hi ia id il in ks ky la ma md me mi mn mo ms mt nc nd ne nh nj nm nv ny oh ok or pa ri sc sd tn tx ut va vt wa wi wv wy".split()), part_of="pii::street_address", before=35, after=10, anchor=_n(5)),
+    Rule("pii::po_box", D, phrases=_w("{p.o.|po|post office} box")),
+    Rule("pii::latitude_coordinates", Q, "GPS_COORDINATES", (_whole("-?", _n(1, 2), r"(?:\.\d+)?\s*[NS]"), _whole("-?", _n(1, 2), r"\.\d+")), 0.45, "LATITUDE", phrases=_w("lat[itude]," + _LAT), phrase_weight=0.8, weights=(0.85, 0.15), anchor=r"\d\.\d|\d\s*[NS]"),
+    Rule("pii::longitude_coordinates", Q, "GPS_COORDINATES", (_whole("-?", _n(1, 3), r"(?:\.\d+)?\s*[EW]"), _whole("-?", _n(1, 3), r"\.\d+")), 0.15, "LONGITUDE", phrases=_w("long[itude],lng," + _LAT), phrase_weight=0.8, weights=(0.85, 0.15), anchor=r"\d\.\d|\d\s*[EW]"),
+    Rule(
+        "pii::dates", Q, "DATE",
+        (
+            _whole(_ISO, _CLOCK), _whole(_SLASHED), _whole(_DASHED), _whole(_LONG, _MDY, _CLOCK, loose=True), _whole(_SHORT, r"\.?", _MDY, _CLOCK, loose=True), _whole(_LONG, r"\s+", _n(1, 2), "(?:st|nd|rd|th)", loose=True),
+            _whole(_LONG, r"\s+", _n(4), loose=True), _whole(_n(1, 2), r"(?:st|nd|rd|th)?\s+(?:of\s+)?", _LONG, r",?\s+", _n(4), loose=True),
+        ),
+        0.7, "DATE", phrases=_w(_DAY), ner_weight=0.72, anchor=r"\d",
+    ),
+    Rule("pii::age", Q, "AGE", (_whole(_n(1, 3), r"\s*(?:years?|yrs?\.?)\s*old"), _whole(_n(1, 3), r"\s*y/?o"), _whole(r"Age:\s*", _n(1, 3), loose=True), _whole(r"age\s+", _n(1, 3), loose=True)), 0.75, phrases=_w("date of birth,dob,born,birth date,patient age"), ner_weight=0.6, weights=(None, None, None, 0.25), anchor=r"\d"),
+    Rule("pii::timestamps", Q, "TIME", (_whole(_n(10)), _whole(_n(13)), _whole(_n(1, 2), "(?::", _n(2), r")?\s*[ap]m", loose=True), _whole(r"(?:2[0-3]|[01]?\d):[0-5]\d")), 0.15, "TIMESTAMP", phrases=_w("timestamp,epoch,unix,{created|updated}{ |_}at,{logged|recorded} at"), phrase_weight=0.8, weights=(None, None, 0.7, 0.7), anchor=r"\d"),
+    Rule(
+        "pii::relative_date_expressions", N, None,
+        (
+            _whole(_NEAR, r"\d+\s*[-–]?\s*", _SPAN, loose=True), _whole(r"for\s+(?:(?:about|almost|approximately)\s+)?\d+\s+", _SPAN, loose=True), _whole(r"(?:early|late|last|this)\s+(?:morning|afternoon|evening|(?:to)?night)", loose=True), _whole(r"last\s+weekend", loose=True),
+            _whole("(?:yesterday|today|tomorrow)", loose=True), _whole(r"(?:past|last|this|next)\s+(?:week(?:end)?|month|quarter|year)", loose=True),
+        ),
+        0.5, phrases=_w("ago,since,recently,within,duration,period,{in|for|over} the past"), weights=(None, None, None, None, 0.25, 0.25),
+    ),
     Rule("pii::device_serial_number", D, "ID_NUM"),
-    Rule("pii::imei_number", D, "IMEI", (_B + r"[0-9]{15}\b",), 0.9, "IMEI", anchor="[0-9]{15}"),
-    Rule("pii::mac_address", D, "MAC_ADDRESS", (_B + r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b",), 0.9, anchor="[:-]"),
-    Rule("pii::ip_address", D, "IP_ADDRESS", (r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}",), 0.9, "IPV4_RANGE", anchor=r"[0-9]\.[0-9]"),
-    Rule("pii::organization", Q, "ORGANIZATION", phrases=_w("company,organization,corporation,firm,agency,institution"), ner_weight=0.25, not_like=(r"^\d+$", r"^.$", r"@")),
-    Rule("pii::employer_organization", Q, "ORGANIZATION", phrases=_w("employer,works at,employed by,workplace"), is_a="pii::organization"),
-    Rule("pii::web_url", D, "URL", (r"https?://[^\s<>\"')\]]+",), 0.9, "WEB_URL", anchor="://"),
-    Rule("pii::uuid_guid", N, "ID_NUM", (_B + r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", _B + r"[0-9a-f]{32}\b"), 0.9, anchor="[0-9a-fA-F]{8}"),
-    Rule("pii::vehicle_identification_number_vin", D, "VIN", (_B + r"[A-HJ-NPR-Z0-9]{17}\b",), 0.8, "VIN", anchor="[A-Z0-9]{17}"),
-    Rule("pii::passport_number", D, "ID_NUM", phrases=_w(_PASS), phrase_weight=0.85),
-    Rule("pii::us_passport_number", D, "ID_NUM", (_B + r"[A-Z]?[0-9]{8,9}\b",), 0.1, phrases=(*_w(_PASS), "us passport"), phrase_weight=0.85, is_a="pii::passport_number", anchor="[0-9]{8}"),
-    Rule("pii::uk_passport_number", D, "ID_NUM", (_B + r"[0-9]{9}\b",), 0.05, phrases=(*_w(_PASS), "uk passport"), phrase_weight=0.9, is_a="pii::passport_number", anchor="[0-9]{9}"),
-    Rule("pii::canadian_passport_number", D, "ID_NUM", (_B + r"[A-Z]{2}[0-9]{6}\b",), 0.1, phrases=(*_w(_PASS), "canadian passport"), phrase_weight=0.85, is_a="pii::passport_number", anchor="[A-Z]{2}[0-9]{6}"),
-    Rule("pii::indian_passport_number", D, "ID_NUM", (_B + r"[A-PR-WY][1-9][0-9]{6}\b",), 0.1, phrases=(*_w(_PASS), "indian passport"), phrase_weight=0.85, is_a="pii::passport_number", anchor="[A-Z][0-9]{7}"),
-    Rule("pii::australian_passport_number", D, "ID_NUM", (_B + r"[A-Z]{1,2}[0-9]{7}\b",), 0.1, phrases=(*_w(_PASS), "australian passport"), phrase_weight=0.85, is_a="pii::passport_number", anchor="[A-Z][0-9]{7}"),
-    Rule("pii::german_passport_number", D, "ID_NUM", (_B + r"[CFGHJKLMNPRTVWXYZ0-9]{9}\b",), 0.1, phrases=(*_w(_PASS), "reisepass"), phrase_weight=0.85, is_a="pii::passport_number", anchor="[A-Z0-9]{9}"),
-    Rule("pii::drivers_license_number", D, "ID_NUM", (_B + r"(?=[A-Z0-9]*[0-9])[A-Z][A-Z0-9]{5,13}\b",), 0.05, phrases=_w("driver license,drivers license,driver's license,driving licence,licence number,dl number"), phrase_weight=0.85, anchor="[A-Z0-9]{6}"),
-    Rule("pii::uk_national_insurance_number_nino", D, phrases=_w("national insurance,nino,ni number")),
-    Rule("pii::uk_nhs_number", D, "ID_NUM", (_B + r"[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b",), 0.05, "UK_NHS", phrases=_w("nhs,nhs number,national health service"), phrase_weight=0.85, override=True, anchor="[0-9]{3}"),
-    Rule("pii::canadian_social_insurance_number_sin", D, None, (_B + r"[0-9]{3}[ -][0-9]{3}[ -][0-9]{3}\b",), 0.65, "CANADIAN_SIN", phrases=_w("sin,social insurance,social insurance number"), anchor="[0-9]{3}"),
-    Rule("pii::indian_aadhaar_number", D, "ID_NUM", (_B + r"[2-9][0-9]{3} ?[0-9]{4} ?[0-9]{4}\b",), None, "INDIAN_AADHAAR", phrases=_w("aadhaar,uidai,aadhar"), anchor="[0-9]{4}"),
-    Rule("pii::us_itin", D, None, (_B + r"9[0-9]{2}-[78][0-9]-[0-9]{4}\b",), 0.85, "US_ITIN", phrases=_w("itin,individual taxpayer"), phrase_weight=0.7, anchor="[0-9]{4}"),
-    Rule("pii::us_ein", D, "ID_NUM", (_B + r"[0-9]{2}-[0-9]{7}\b",), 0.5, phrases=_w("ein,employer identification,tax id,federal tax"), phrase_weight=0.6, anchor="[0-9]{7}"),
-    Rule("pii::nationality", Q, phrases=_w("nationality,citizen of,citizenship"), phrase_weight=0.4),
-    Rule("pii::religious_affiliation", S, phrases=_w("religion,faith,church,mosque,religious"), phrase_weight=0.4),
-    Rule("pii::account_reference_number", D, "ACCOUNT_NUMBER", (_B + r"(?:ACC|ACCT|REF|CUST)[-#: ]?[0-9]{4,12}\b",), 0.75, phrases=_w("account reference,reference,customer number,account no"), anchor="AC|REF|CUST"),
-    Rule("pii::unique_identifier", D, "ACCOUNT_NUMBER", (_B + r"[A-Z]{2,5}-[0-9]{4}-[0-9]{3,8}\b", r"(?iU)\b(?:id|case|ticket|member)[ :#-]{1,2}[0-9]{5,12}\b"), 0.75, phrases=_w("identifier,case number,employee id,member id,record id,ticket"), weights=(0.7, 0.6), anchor="[0-9]{3}"),
+    Rule("pii::imei_number", D, "IMEI", (_whole(_n(15)),), 0.9, "IMEI", anchor=_n(15)),
+    Rule("pii::mac_address", D, "MAC_ADDRESS", (_whole("(?:[A-Fa-f0-9]{2}[:-]){5}[A-Fa-f0-9]{2}"),), 0.9, anchor="[A-Fa-f0-9][:-][A-Fa-f0-9]{2}[:-]"),
+    Rule("pii::ip_address", D, "IP_ADDRESS", (_whole(r"(?:{0}\.){{3}}{0}".format("(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})")),), 0.9, "IPV4_RANGE", anchor=r"[0-9]\.[0-9]"),
+    Rule("pii::organization", Q, "ORGANIZATION", phrases=_w("organization,company,corporation,firm,agency,institution,inc[orporated],llc,ltd,employer,employed by,works {at|for},facility,hospital,clinic,medical center"), ner_weight=0.25, not_like=(r"^\d+$", "^[A-Z]{6,}$", "^[A-Z]+-[A-Z0-9-]+$")),
+    Rule("pii::employer_organization", Q, "ORGANIZATION", phrases=_w("employer[ name],employed by,place of employment,works {at|for},company,organization"), is_a="pii::organization"),
+    Rule("pii::web_url", D, "URL", (r"\b(?:https?://(?:www\.)?|www\.)[\w@:%.+~#=-]{1,256}\.[\w()]{1,6}\b[\w()@:%+.~#?&/=-]*".replace(r"\w", "A-Za-z0-9_").replace("_()]{1,6}", "()]{1,6}"),), 0.9, "WEB_URL", anchor=r"https?://|www\."),
+    Rule("pii::uuid_guid", N, "ID_NUM", (_whole("-".join("[A-Fa-f0-9]{%d}" % k for k in (8, 4, 4, 4, 12))), _whole("[A-Fa-f0-9]{32}")), 0.9, anchor="[A-Fa-f0-9]{8}"),
+    Rule("pii::vehicle_identification_number_vin", D, "VIN", (_whole("[0-9A-HJ-NPR-Z]{17}"),), 0.8, "VIN", anchor="[0-9A-Z]{17}"),
+    Rule("pii::passport_number", D, "ID_NUM", phrases=_w(_PASS + ",passport id"), phrase_weight=0.85),
+    Rule("pii::us_passport_number", D, "ID_NUM", (_whole("[A-Z][0-9]{8}"),), 0.1, phrases=_w(_PASS + ",{us|american} passport"), phrase_weight=0.85, anchor="[A-Z][0-9]{8}"),
+    Rule("pii::uk_passport_number", D, "ID_NUM", (_whole("[0-9]{9}"),), 0.05, phrases=_w(_PASS + ",{uk|british} passport"), phrase_weight=0.9, anchor="[0-9]{9}"),
+    Rule("pii::canadian_passport_number", D, "ID_NUM", (_whole("[A-Z]{2}[0-9]{6}"),), 0.1, phrases=_w(_PASS + ",canadian passport"), phrase_weight=0.85, anchor="[A-Z]{2}[0-9]{6}"),
+    Rule("pii::indian_passport_number", D, "ID_NUM", (_whole("[A-Z][0-9]{7}"),), 0.1, phrases=_w(_PASS + ",indian passport"), phrase_weight=0.85, anchor="[A-Z][0-9]{7}"),
+    Rule("pii::australian_passport_number", D, "ID_NUM", (_whole("[A-Z]{1,2}[0-9]{7}"),), 0.1, phrases=_w(_PASS + ",australian passport"), phrase_weight=0.85, anchor="[A-Z][0-9]{7}"),
+    Rule("pii::german_passport_number", D, "ID_NUM", (_whole("[0-9CF-HJ-NPRTV-Z]{9}"),), 0.1, phrases=_w("passport[ number],travel document,german passport,reisepass"), phrase_weight=0.85, anchor="[A-Z0-9]{9}"),
+    Rule("pii::drivers_license_number", D, "ID_NUM", (_whole("[A-Z][A-Z0-9-]{5,14}"),), 0.05, phrases=_w("driver[{'s|s} license],dl[ number],dmv,driving[ license],license[ {id|no|number}]"), phrase_weight=0.85, anchor="[A-Z][A-Z0-9-]{5}"),
+    Rule("pii::uk_national_insurance_number_nino", D, phrases=_w("nino,national insurance[ number]")),
+    Rule("pii::uk_nhs_number", D, "ID_NUM", (_whole("[ -]?".join((_n(3), _n(3), _n(4)))),), 0.05, "UK_NHS", phrases=_w("nhs[ {no|number}],national health service"), phrase_weight=0.85, override=True, anchor=_n(3)),
+    Rule("pii::canadian_social_insurance_number_sin", D, None, (_whole("[ -]".join([_n(3)] * 3)),), 0.65, "CANADIAN_SIN", phrases=_w("sin,social insurance[ number]"), anchor=_n(3)),
+    Rule("pii::indian_aadhaar_number", D, "ID_NUM", (_whole(r"\s?".join([_n(4)] * 3)),), None, "INDIAN_AADHAAR", phrases=_w("aadhaar[ number],aadhar"), anchor=_n(4)),
+    Rule("pii::us_itin", D, None, (_whole("[ -]?".join(("9" + _n(2), _n(2), _n(4)))),), 0.85, "US_ITIN", phrases=_w("itin,individual taxpayer[ identification]"), phrase_weight=0.7, anchor=r"9\d\d"),
+    Rule("pii::us_ein", D, "ID_NUM", (_whole(_n(2), "-", _n(7)),), 0.5, phrases=_w("ein,tin,employer id,employer identification[ number],[federal ]tax id,tax id number"), phrase_weight=0.6, anchor=_n(7)),
+    Rule("pii::nationality", Q, phrases=_w("nationality,national of,citizen[ship],citizen of"), phrase_weight=0.4),
+    Rule("pii::religious_affiliation", S, phrases=_w("religio{n|us},faith,belief,worship,denomination,church,mosque,synagogue,temple"), phrase_weight=0.4),
+    Rule("pii::account_reference_number", D, "ACCOUNT_NUMBER", (_whole(r"ACC-\w{1,15}"),), 0.75, phrases=_w("[billing ]account,account {id|number|ref[erence]}"), anchor="ACC-"),
+    Rule("pii::unique_identifier", D, "ACCOUNT_NUMBER", (_whole(_any("CLM CUST MEM POL RES SUB"), r"-\w{1,15}"), _whole(r"[A-Z]{2,6}-\d{3,}(?:-\d{2,})*")), 0.75, phrases=_w("account[ {id|number}],{adjuster|application|customer|employee|manager|member|officer|record|student|subscriber} id,{application|claim|customer|policy|record|reference} number"), weights=(None, 0.25), anchor=r"[A-Z]-\w"),
 ]
 PHI = [
-    Rule("phi::medical_record_number_mrn", D, "ID_NUM", (r"(?U)\bMRN[-#: ]{0,2}[0-9]{5,10}\b", _B + r"[0-9]{6,10}\b"), 0.05, phrases=_w("mrn,medical record,medical record number,chart number,patient id,record no"), phrase_weight=0.85, not_after=("$", "invoice", "zip"), weights=(0.85, 0.05), anchor="[0-9]{5}"),
-    Rule("phi::health_plan_beneficiary_number", D, "ID_NUM", (_B + r"[A-Z]{3}[0-9]{8,10}\b",), 0.7, phrases=_w("member id,policy number,beneficiary,health plan,subscriber,insurance id"), anchor="[A-Z]{3}[0-9]{8}"),
-    Rule("phi::claim_control_number", D, "ID_NUM", (_B + r"CLM[-# ]?[0-9]{5,12}\b",), 0.75, phrases=_w("claim,claim number,claim control"), anchor="CLM"),
+    Rule("phi::medical_record_number_mrn", D, "ID_NUM", (_whole(_n(5, 10)), _whole(_any("PTID PAT MRN BH-MRN"), r"[\s:-]\s*(?=[-\w]*\d)[-\w]{4,12}"), _whole(_any("SUBJ SUB RES GEN"), r"[\s:-]\s*(?=[-\w]*\d)[-\w]{1,12}")), 0.05, phrases=_w("mrn,{case|chart|medical record|patient|record} number,medical record,patient[ {id|identifier}],admission,discharge,encounter,visit,chart,[{research|study} ]subject,subject id,participant[ id],study id,cohort"), phrase_weight=0.85, not_after=_w("ssn,social security"), anchor=r"\d"),
+    Rule("phi::health_plan_beneficiary_number", D, "ID_NUM", (_whole(_any("BEN GRP HPB INS MEM PLN"), r"-\w{1,15}"), _whole(_any("AET ANT BCBS? CIG CVH HUM KSR MOL SHP UHC WLP"), r"-\w{1,15}")), 0.7, phrases=_w("{health plan|plan|medicare} beneficiary,health plan,beneficiary[ {id|identifier|number}],hpb[ {id|number}],insurance,policy[ number],plan number,member id,coverage,medicare,medicaid,aetna,anthem,blue{cross|shield},cigna,humana,kaiser,molina,uhc,unitedhealthcare"), anchor=r"[A-Z]{3}-\w"),
+    Rule("phi::claim_control_number", D, "ID_NUM", (_whole(_any("AUTH CCN CLM GEN-STUDY STUDY"), r"-[\w-]{1,25}"),), 0.75, phrases=_w("claim[ {control|number}],control number,authorization,study[ id]"), anchor="AUTH-|CCN-|CLM-|STUDY-"),
     Rule("phi::authorization_precertification_code", D, "ID_NUM"),
-    Rule("phi::icd10_diagnosis_codes", S, "CONDITION", (_B + r"[A-TV-Z][0-9][0-9AB]\.[0-9A-Z]{1,4}\b",), 0.05, phrases=_w("icd,icd-10,diagnosis,diagnosis code,dx"), phrase_weight=0.85, anchor=r"[A-Z][0-9]"),
-    Rule("phi::cpt_procedure_codes", S, "PROCEDURE", (_B + r"[0-9]{4}[0-9FTU]\b",), 0.05, phrases=_w("cpt,procedure code,procedure,billing code"), phrase_weight=0.85, anchor="[0-9]{4}"),
+    Rule("phi::icd10_diagnosis_codes", S, "CONDITION", (_whole(r"[A-TV-Z][0-9][A-Z0-9](?:\.[A-Z0-9]{1,4})?"),), 0.05, phrases=_w("icd[{10|-10}],diagnosis[ code],diagnosed with,dx,assessment"), phrase_weight=0.85, anchor="[A-TV-Z][0-9]"),
+    Rule("phi::cpt_procedure_codes", S, "PROCEDURE", (_whole(_n(5)),), 0.05, phrases=_w("cpt[ code],hcpcs,procedure[ code]"), phrase_weight=0.85, anchor=_n(5)),
     Rule("phi::hcpcs_codes", S, "PROCEDURE"),
     Rule("phi::ndc_codes", S, "MEDICATION"),
     Rule("phi::lab_results", S, "LAB_TEST"),
-    Rule("phi::medication_dosage", S, None, (r"(?iU)\b[0-9]+(?:\.[0-9]+)? ?(?:mg|mcg|ml|units|iu)\b",), 0.7, phrases=_w("dose,dosage,daily,tablet,prescribed,administered"), anchor="[0-9]"),
-    Rule("phi::medical_condition", S, "CONDITION", phrases=_w("diagnosed with,history of,suffers from,condition,symptoms of")),
-    Rule("phi::medication_name", S, "MEDICATION", phrases=_w("medication,taking,prescribed,drug,allergic to")),
-    Rule("phi::vital_signs", S, None, (r"(?iU)\b(?:bp|blood pressure)[ :]{1,2}[0-9]{2,3}/[0-9]{2,3}\b", r"(?iU)\b[0-9]{2,3} ?bpm\b"), 0.65, phrases=_w("vitals,blood pressure,heart rate,pulse,temperature"), not_after=("page", "version"), anchor="[0-9]{2}"),
+    Rule(
+        "phi::medication_dosage", S, None,
+        (
+            _whole(r"\d+(?:\.\d+)?\s*", _any("mg mcg m[lL] k?g μg IU units? tablets? cap(?:sule)?s?")),
+            _whole(r"\d+(?:\.\d+)?\s*", _any("mg mcg m[lL] g μg"), r"\s*/\s*", _any("kg day hr hour dose min kg/day")),
+            _whole(r"(?:\d+\s*(?:times?|x)\s+(?:daily|(?:per|a)\s+day)|(?:on|twi|thri)ce\s+(?:daily|(?:per|a)\s+day))", loose=True),
+        ),
+        0.7, phrases=_w("dos{age|e},medication,drug,prescri{bed|ption},administered,mcg,mg,tablet,capsule,oral,iv,infusion,injection"), anchor=r"\d|[Cc][Ee]",
+    ),
+    Rule("phi::medical_condition", S, "CONDITION", phrases=_w("diagnos{ed|is},dx,condition,comorbidity,disease,disorder,history of,presents with")),
+    Rule("phi::medication_name", S, "MEDICATION", phrases=_w("medication,drug,dose,rx,prescri{bed|ption},taking,administered")),
+    Rule("phi::vital_signs", S, None, (_whole("/".join([_n(2, 3)] * 2)), _whole(_n(2, 3), r"\s*bpm"), _whole(_n(2, 3), r"(?:\.\d)?\s*°?\s*[CF]"), r"\b(?:100|9[0-9])\s*%\s*(?:oxygen|sat|(?:Sp)?O2)?\b", _whole(_n(1, 2), r"\s*br(?:eaths?)?[\s/]min(?:ute)?")), 0.65, phrases=_w("vital{s| signs},blood pressure,bp,systolic,diastolic,mmhg,heart rate,pulse,temp[erature],oxygen saturation,o2 sat,spo2,respiratory rate,rr"), not_after=_w("exp[{ires|iry|iration}],valid {thru|through|until}"), not_before=("/",), anchor=r"\d"),
     Rule("phi::measurement_units", N),
-    Rule("phi::physician_names", Q, "PERSON", phrases=_w("physician,doctor,attending,surgeon,referred by,consultant"), phrase_weight=0.8, is_a="pii::person_names", prefixes=("Dr.", "Dr", "Prof.", "Doctor", "Professor"), not_like=(r"\d",)),
-    Rule("phi::hospital_names", Q, "ORGANIZATION", is_a="pii::organization", suffixes=("Hospital", "Clinic", "Medical Center", "Health System", "Infirmary", "Hospice")),
+    Rule("phi::physician_names", Q, "PERSON", phrases=_w("dr[.],doctor,physician[ assistant],referring physician,md,m.d.,d.o.,rn,np,pa,nurse[ practitioner],attending,prescriber,provider,specialist,surgeon"), phrase_weight=0.8, is_a="pii::person_names", prefixes=("Dr", "Dr.", "Prof", "Prof.", "Doctor"), not_like=(_whole(_any("APRN CNA CNM CRNA EMT LCSW LMFT LMSW LPC MSW NP PA-C")),)),
+    Rule("phi::hospital_names", Q, "ORGANIZATION", is_a="pii::organization", suffixes=("HOSPITAL", "CLINIC", "CENTER", "CENTRE", "HEALTH CENTER", "MEDICAL CENTER")),
     Rule("phi::hospital_abbreviations", Q, "ORGANIZATION", is_a="pii::organization"),
-    Rule("phi::provider_npi", D, "ID_NUM", (_B + r"[12][0-9]{9}\b",), 0.05, "NPI", phrases=_w("npi,provider id,national provider"), phrase_weight=0.85, anchor="[0-9]{10}"),
+    Rule("phi::provider_npi", D, "ID_NUM", (_whole(_n(10)),), 0.05, "NPI", phrases=_w("npi,national provider identifier,provider {id|number},{billing|rendering} provider"), phrase_weight=0.85, anchor=_n(10)),
     Rule("phi::provider_tax_id_ein", D, "ID_NUM"),
-    Rule("phi::dates", Q, "DATE", (_B + r"(?:19|20)[0-9]{2}/[01][0-9]/[0-3][0-9]\b", _B + r"[0-3][0-9]\.[01][0-9]\.(?:19|20)[0-9]{2}\b"), 0.5, "DATE", phrases=_w("date of service,admission,discharge,visit,appointment"), anchor="[0-9]{2}"),
-    Rule("phi::date_of_birth", D, "DATE_OF_BIRTH", validator="DATE", phrases=_w("date of birth,dob,born on,birth date,born"), phrase_weight=0.8, override=True, ner_weight=0.9),
-    Rule("phi::date_of_death", D, "DATE", validator="DATE", phrases=_w("date of death,died on,deceased,passed away"), phrase_weight=0.8, override=True, ner_weight=0.9),
-    Rule("phi::timestamps", Q, "TIME", (_B + r"[0-9]{10}(?:[0-9]{3})?\b",), 0.5, "UNIX_TIMESTAMP", anchor="[0-9]{10}"),
-    Rule("phi::relative_date_expressions", N, None, (r"(?iU)\b(?:post-?op|hospital) day [0-9]+\b",), 0.15, phrases=_w("days prior,follow up in,weeks after"), phrase_weight=0.8),
+    Rule("phi::dates", Q, "DATE", (_whole(_ISO), _whole(_SLASHED), _whole(_DASHED), _whole(_LONG, _MDY, loose=True), _whole(_SHORT, r"\.?", _MDY, loose=True)), 0.5, "DATE", phrases=_w(_DAY), anchor=r"\d"),
+    Rule("phi::date_of_birth", D, "DATE_OF_BIRTH", validator="DATE", phrases=_w("birth{day| date},date of birth,dob,born[ {in|on}]"), phrase_weight=0.8, override=True, ner_weight=0.9),
+    Rule("phi::date_of_death", D, "DATE", validator="DATE", phrases=_w("d{ied|od},died on,date of {death|expiration},deceased,death date,expired,passed {away|on},time of death"), phrase_weight=0.8, override=True, ner_weight=0.9),
+    Rule("phi::timestamps", Q, "TIME", (_whole(_n(10)), _whole(_n(13))), 0.5, "UNIX_TIMESTAMP", anchor=_n(10)),
+    Rule(
+        "phi::relative_date_expressions", N, None,
+        (
+            _whole("today", loose=True), _whole("(?:tomorrow|yesterday)", loose=True), _whole(r"(?:past|last|this|next)\s+(?:week(?:end)?|month|quarter|year|morning|afternoon|evening|few\s+(?:day|week|month)s?)", loose=True),
+            _whole(r"\d+\s+", _SPAN, r"\s+(?:ago|earlier|later|from\s+now)", loose=True), _whole(r"from\s+(?:the\s+)?\w+\s+today", loose=True),
+        ),
+        0.15, phrases=_w("patient,session,treatment,therapy,appointment,visit,came in,symptom,onset,presents,diagnosis,discharge,follow[-]up,clinic[al],lab,results,research,study,participant,sequencing,specimen"), phrase_weight=0.8,
+    ),
     *(Rule(f"phi::{x}", B) for x in ("fingerprints", "retinal_scans", "voiceprints", "facial_photographs")),
     Rule("phi::dna_sequences", G),
-    Rule("phi::genomic_variants", G, None, (_B + r"rs[0-9]{4,10}\b", r"(?U)\bc\.[0-9]+[ACGT]>[ACGT]\b", r"(?U)\bBRCA[12]\b"), 0.75, phrases=_w("variant,mutation,genotype,allele,carrier"), anchor="rs[0-9]|c\\.|BRCA"),
-    Rule("phi::certificate_license_number", D, "ID_NUM", phrases=_w("license number,certificate,board certified,registration"), phrase_weight=0.6),
+    Rule(
+        "phi::genomic_variants", G, None,
+        (
+            _whole(_any("APC APOE ATM BMPR1A BRAF BRCA[12] CDH1 CHEK2 EGFR EPCAM KRAS MEN1 MLH1 MSH[26] MTHFR MUTYH NBN NF[12] PALB2 PTEN RAD51[CD]? RET SMAD4 STK11 TP53 VHL")),
+            _whole(r"[cgmnr]\.[0-9]+(?:[-+][0-9]+)?[ACGT]?>[ACGT]"), r"\bp\.[A-Z][a-z]{2}\d+(?:[*?]|[A-Z][a-z]{2})\b", _whole(r"(?:rs\d{5,}|[A-Z]\d+[A-Z])"), _whole("/".join(["[A-Z][0-9]+"] * 2)),
+        ),
+        0.75, phrases=_w("variant[ of uncertain significance],vus,mutation,allele,[likely ]pathogenic,benign,{hetero|homo}zygous,gen{e|etic|ome|omic|otype},locus,exome,snp,sequencing"),
+    ),
+    Rule("phi::certificate_license_number", D, "ID_NUM", phrases=_w("licen{c|s}e,license {no|number},{permit|registration} number,certifi{cate|cation|ed},board certified,credential,accreditation"), phrase_weight=0.6),
 ]
 FIN = [
-    Rule("fin::credit_card_number", F_, "CREDIT_CARD", (r"[0-9]{4}(?:[ -]?[0-9]{4}){3}",), 0.9, "LUHN_CHECKSUM", phrases=_w("card,credit card,card number,visa,mastercard,payment card"), not_after=("order", "tracking", "serial", "ref"), anchor="[0-9]{4}"),
-    Rule("fin::cvv_code", F_, "CVV", (_B + r"[0-9]{3,4}\b",), 0.05, phrases=_w("cvv,cvc,security code,card verification"), phrase_weight=0.85, anchor="[0-9]{3}"),
-    Rule("fin::card_expiry_date", F_, None, (_B + r"(?:0[1-9]|1[0-2])/[0-9]{2}\b",), 0.72, phrases=_w("expiry,expires,exp,valid thru,expiration"), phrase_weight=0.8, not_after=("dated", "visit"), anchor="[0-9]/[0-9]"),
-    Rule("fin::bank_account_number", F_, "ACCOUNT_NUMBER", (_B + r"[0-9]{8,17}\b",), 0.1, phrases=_w("account number,bank account,checking,savings,account no,acct,deposit to"), phrase_weight=0.8, not_after=("phone", "tel", "mrn", "npi", "order"), before=80, after=25, anchor="[0-9]{8}"),
-    Rule("fin::routing_number_aba", Q, "ACCOUNT_NUMBER", (_B + r"[0-3][0-9]{8}\b",), 0.22, "ABA_ROUTING_NUMBER", phrases=_w("routing,aba,routing number,transit number"), anchor="[0-9]{9}"),
-    Rule("fin::iban", F_, "IBAN", (_B + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",), 0.85, "IBAN", anchor="[A-Z]{2}[0-9]{2}"),
-    Rule("fin::payment_transaction_id", F_, None, (_B + r"(?:TXN|PAY|TRX)[-_#]?[A-Z0-9]{6,20}\b",), 0.75, phrases=_w("transaction,payment id,transaction id"), anchor="TXN|PAY|TRX"),
-    Rule("fin::crypto_wallet_address", F_, "BITCOIN_ADDRESS", (_B + r"0x[0-9a-fA-F]{40}\b", _B + r"bc1[0-9a-z]{25,60}\b"), 0.8, phrases=_w("wallet,bitcoin,ethereum,crypto"), phrase_weight=0.4, anchor="0x|bc1"),
-    Rule("fin::swift_bic", F_, "BIC", (_B + r"[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b",), 0.15, phrases=_w("swift,bic,swift code"), phrase_weight=0.85, anchor="[A-Z]{6}"),
+    Rule("fin::credit_card_number", F_, "CREDIT_CARD", (r"(?<!\d)(?:\d[ -]*?){13,19}(?!\d)", _whole(r"(?:[\dXx*#][ -]*?){13,19}"), _whole(r"(?:(?:card\s+)?ending\s+in|last\s+(?:4|four)\s+digits?)\s+", _n(4), loose=True)), 0.9, "LUHN_CHECKSUM", phrases=_w("credit card,card number,cc#,amex,discover,mastercard,visa,[card ]ending in,last {4|four} digits"), not_after=_w("cv{c|v}"), anchor=r"[\dXx*#][ -]*[\dXx*#][ -]*[\dXx*#][ -]*[\dXx*#]"),
+    Rule("fin::cvv_code", F_, "CVV", (r"(?<![\d-])\b" + _n(3, 4) + r"\b(?![\d-])",), 0.05, phrases=_w("cv{c|v},{card|security|verification} code"), phrase_weight=0.85, anchor=_n(3)),
+    Rule("fin::card_expiry_date", F_, None, (_whole(r"(?:1[0-2]|0[1-9])/", _n(2)),), 0.72, phrases=_w("exp[{ date|ires|iry|iration}],valid {thru|through|until},good thru,ending in,card ending"), phrase_weight=0.8, not_after=_w("birth[{day| date}],born,date of birth,dob"), not_before=("/",), anchor=r"\d/\d"),
+    Rule("fin::bank_account_number", F_, "ACCOUNT_NUMBER", (_whole(_n(6, 17)),), 0.1, phrases=_w("a/c,acct,ach,[{bank|checking|current|savings} ]account,bank account number,account {ending|number},checking,savings,credited to,debit[ed from],deposit[ed to],direct deposit,routing[ and account],sent to account,sort code,transfer to,wire transfer"), phrase_weight=0.8, not_after=_w("ssn,social security,itin,ein,mrn,medical record,patient[ id],pat[-],res-,ins-,inv-,cust-,claim,policy,research,study,ticket"), before=80, after=25, anchor=_n(6)),
+    Rule("fin::routing_number_aba", Q, "ACCOUNT_NUMBER", (r"(?<![\w-])" + _n(9) + r"(?![\w-])",), 0.22, "ABA_ROUTING_NUMBER", phrases=_w("aba,ach,bank,routing[ number],rtn,transit number,wire[ transfer]"), anchor=_n(9)),
+    Rule("fin::iban", F_, "IBAN", (_whole("[A-Z]{2}", _n(2), "[A-Z0-9]{11,28}"),), 0.85, "IBAN", anchor=r"[A-Z]{2}\d\d"),
+    Rule("fin::payment_transaction_id", F_, None, (_whole(_any("INV ORD PAY PMT PYMT REF TXN"), r"-\w{3,20}"),), 0.75, phrases=_w("[{payment|transaction} ]reference,payment,transaction[ id],invoice,order,receipt"), anchor="[A-Z]{3}-"),
+    Rule("fin::crypto_wallet_address", F_, "BITCOIN_ADDRESS", (_whole("0x[0-9A-Fa-f]{40}"), _whole("(?:bc1[0-9a-z]{25,39}|[13][1-9A-HJ-NP-Za-km-z]{25,34})")), 0.8, phrases=_w("wallet[ address],crypto,bitcoin,btc,eth[ereum]"), phrase_weight=0.4, anchor="[0-9A-Za-z]{25}"),
+    Rule("fin::swift_bic", F_, "BIC", (_whole("[A-Z]{6}[0-9A-Z]{2}(?:[0-9A-Z]{3})?"),), 0.15, phrases=_w("bic[ code],swift[ {bic|code}],swift/bic"), phrase_weight=0.85, anchor="[A-Z]{6}"),
 ]
 DEFAULT_WEIGHT, DEFAULT_PHRASE_WEIGHT = 0.8, 0.4
 
@@ -206,11 +294,8 @@ SCHEMA = "ord int, entity_id string, root_id string, entity string, ontology str
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
     """One row a rule; some 84 rows, so joins with it are broadcast."""
     rows = [
-        (i, r.entity_id, root(r.entity_id, rules), r.name, r.ontology, r.category, r.data_class, r.label, r.weight, r.validator, r.validator_weight, r.primary, r.phrase_weight, bool(r.patterns), r.is_a, r.part_of, list(r.not_after), list(r.not_before), "|".join(r.not_like) or None, r.override, r.ner_weight, r.before, r.after, r.default_action, KINDS.get(r.entity_id), "|".join(f"(?:{p})" for p in r.patterns) or None)
+        (i, r.entity_id, root(r.entity_id, rules), r.name, r.ontology, r.category, r.data_class, r.label, r.weight, r.validator, r.validator_weight, r.primary, r.phrase_weight, bool(r.patterns), r.is_a, r.part_of, list(r.not_after), list(r.not_before), "|".join(f"(?:(?U){x})" for x in r.not_like) or None, r.override, r.ner_weight, r.before, r.after, r.default_action, KINDS.get(r.entity_id), "|".join(f"(?:{p})" for p in r.native) or None)
         for i, r in enumerate(rules)
     ]
     return spark.createDataFrame(rows, SCHEMA)
 
-
-def phrase_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    return spark.createDataFrame([(i, r.entity_id, p.lower(), r.phrase_weight, r.before, r.after) for i, r in enumerate(rules) for p in r.phrases], "ord int, entity_id string, phrase string, phrase_weight double, win_before int, win_after int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions import text as T
 from tidemark.operators.detect import documents, scan
 from tidemark.plans.rules import Rule
 
@@ -25,8 +26,8 @@ def rates(stream: DataFrame, rules: tuple[Rule, ...], ts: str, text: str, source
 
 
 def _found(text: Column, r: Rule) -> Column:
-    all_ = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in r.patterns])
-    return F.coalesce(all_, F.array().cast("array<string>"))
+    all_ = F.array_distinct(F.concat(*[T.find_all(text, p) for p in r.native]))
+    return F.coalesce(F.when(text.rlike("(?U)" + r.anchor), all_) if r.anchor else all_, F.array().cast(f"array<{T.SPAN}>"))
 
 
 def each_batch(stream: DataFrame, rules: tuple[Rule, ...], sink: Callable[[DataFrame, int], None], checkpoint: str, **columns: str) -> StreamingQuery:

@@ -72,6 +72,6 @@ def precision(kind: Column, c: Column) -> Column:
     band = F.when(width == 10, 0.6).when(width == 20, 0.4).otherwise(0.8)
     by_age = F.when(t == "90+", 0.4).when(t.rlike(r"^\d+-\d+$"), band).otherwise(1.0)
     by_date = F.when(t.rlike(r"^\d{3}0s$"), 0.4).when(t.rlike(r"^\d{4}$"), 0.6).when(t.rlike(r"^\d{4}-\d{2}$"), 0.8).otherwise(1.0)
-    by_zip = F.when(t.rlike(r"^\d{3}\*\*$"), 0.4).when(t.rlike(r"^\d\*{4}$"), 0.3).otherwise(1.0)
+    by_zip = F.when(t.rlike(r"^\d{3}\*\*$"), 0.6).when(t.rlike(r"^\d\*{4}$"), 0.3).otherwise(1.0)
     by_place = F.when(t.rlike(r"^-?\d+$"), 0.3).when(t.rlike(r"^-?\d+\.\d$"), 0.6).otherwise(1.0)
     return F.when(kind == "age", by_age).when(kind == "date", by_date).when(kind == "zip", by_zip).when(kind == "coordinates", by_place).otherwise(1.0)

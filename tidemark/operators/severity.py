@@ -119,10 +119,13 @@ def per_entity(d: DataFrame) -> DataFrame:
 
 
 def per_record(d: DataFrame) -> DataFrame:
-    return d.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total_score"), F.count_distinct(F.when(F.col("data_class").isin(*STRONG), F.col("entity_id"))).alias("strong"), F.max_by("level", level_order(F.col("level"))).alias("worst"))
+    """Findings by record: number, summed score, strong types, worst level, whether it is alone in its class, and what it holds."""
+    alone = F.coalesce(F.max(F.col("k") == 1), F.lit(False)) if "k" in d.columns else F.lit(False)
+    return d.groupBy(*RECORD).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total_score"), F.count_distinct(F.when(F.col("data_class").isin(*STRONG), F.col("entity_id"))).alias("strong"), F.max_by("level", level_order(F.col("level"))).alias("worst"), alone.alias("singleton"), F.array_join(F.sort_array(F.collect_set("entity")), ",").alias("entities"))
 
 
 def location() -> Column:
+    """Where a person has to look: the cell, else the document."""
     return F.when(F.col("col").isNotNull() & F.col("row").isNotNull(), F.format_string("%s (row %d)", "col", "row")).otherwise(F.coalesce("col", "source_id"))
 
 
@@ -154,5 +157,34 @@ def exposure(d: DataFrame, classes: DataFrame | None = None, threshold: int = 5)
     return s.withColumn("index", F.bround(F.when(F.col("critical") > 0, F.greatest(raw, F.lit(40.0))).otherwise(raw), 1))
 
 
+def approvals(d: DataFrame) -> DataFrame:
+    """The review queue by value: level, location, entity, the value's beginning, why it is there, and how often."""
+    q = d.where("review is not null").select("level", location().alias("location"), "entity", F.substring("text", 1, 40).alias("value"), "review")
+    return q.groupBy(*q.columns).agg(F.count(F.lit(1)).alias("times")).orderBy(F.desc("times"), F.desc(level_order(F.col("level"))), "location", "entity", "value")
+
+
+def trace(d: DataFrame) -> DataFrame:
+    """The steps that led to each score: (…, step, what, change) of an escalated finding."""
+    kind = _pick(F.col("data_class"), BASES, 0.55)
+    exact = F.round(kind * precision(F.col("kind"), F.col("text")), 6)
+    boost = F.col("data_class").isin(*BOOSTABLE)
+    once = F.when(boost & (F.col("strong") >= 2), exact + (1 - exact) * F.least(F.lit(0.45), 0.15 * (F.col("strong") - 1))).otherwise(exact)
+    step = lambda n, name, what, change: F.struct(F.lit(n).alias("n"), F.lit(name).alias("step"), what.alias("what"), F.round(change, 6).alias("change"))
+    steps = F.array(
+        step(1, "sensitivity", F.concat(F.lit("a value of the class "), F.coalesce("data_class", F.lit("none"))), kind),
+        step(2, "precision", F.lit("how exact the value is"), exact - kind),
+        step(3, "together", F.concat(F.col("strong").cast("string"), F.lit(" strong types in the record")), once - exact),
+        step(4, "alone", F.when(F.col("k") == 1, "the only record of its class").otherwise("not alone in its class"), F.col("score") - once),
+    )
+    return d.select(*RECORD, "col", "start", "end", "entity", "score", F.explode(steps).alias("s")).select(*RECORD, "col", "start", "end", "entity", "score", "s.n", "s.step", "s.what", "s.change")
+
+
+def throughput(scanned: DataFrame, seconds: float) -> DataFrame:
+    """One row: texts, characters, and how many of each a second of a scan that took so long."""
+    n = scanned.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"))
+    rate = lambda c: F.round(F.try_divide(F.col(c), F.lit(float(seconds))), 1)
+    return n.select("texts", "chars", F.lit(float(seconds)).alias("seconds"), rate("texts").alias("texts_a_second"), rate("chars").alias("chars_a_second"))
+
+
 def review_queue(d: DataFrame) -> DataFrame:
     return d.where("review is not null").orderBy(F.desc("score"), *RECORD, "start")

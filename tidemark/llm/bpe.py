@@ -137,9 +137,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN
 
     ``round_trip`` tells whether decoding gives the text back byte for byte.  A null text has null in all three; an
     empty one no tokens.  Null ids and repeated rows are kept as they are; other columns play no part.  The
-    vocabulary's file is read by the driver and sent to the workers once.
+    vocabulary's file is read by the driver and sent to the workers once; one that lacks a byte is an error, as texts
+    with that byte would have no tokens.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
+    own = load(vocabulary)
+    if lacking := [i for i in range(256) if bytes([i]) not in own]:
+        raise ValueError(f"the vocabulary lacks {len(lacking)} of the 256 bytes, the first is {lacking[0]}")
+    ranks = docs.sparkSession.sparkContext.broadcast(own)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return d.mapInArrow(_encode(ranks, pattern), "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .validators import digits, to_date
 
-LADDERS = {"age": ("5y", "10y", "20y"), "date": ("month", "year", "decade"), "zip": ("3-digit", "1-digit"), "coordinates": ("1dp", "int")}
+LADDERS = {"coordinates": ("1dp", "int"), "zip": ("3-digit", "1-digit"), "age": ("5y", "10y", "20y"), "date": ("month", "year", "decade")}
 DEFAULT_LEVEL = {"age": "10y", "date": "year", "zip": "3-digit", "coordinates": "1dp"}
 KINDS = {"pii::age": "age", "pii::dates": "date", "phi::dates": "date", "phi::date_of_birth": "date", "phi::date_of_death": "date", "pii::zip_code": "zip", "pii::latitude_coordinates": "coordinates", "pii::longitude_coordinates": "coordinates"}
 
@@ -50,9 +50,9 @@ def generalize(kind: str, c: Column, level: str | None = None) -> Column:
     if kind not in _RUNGS:
         return F.lit(None).cast("string")
     level = level or DEFAULT_LEVEL[kind]
-    if level not in LADDERS[kind]:
-        raise ValueError(f"{kind} has no level {level}")
-    return _RUNGS[kind](c, level)
+    if level in LADDERS[kind]:
+        return _RUNGS[kind](c, level)
+    raise ValueError(f"{kind} has no level {level}")
 
 
 def generalize_by(kind: Column, level: Column, c: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "struct<start:int,end:int,text:string>"
-NULL_WORDS = ("n/a", "na", "n.a.", "none", "null", "nil", "-", "—", "tbd", "unknown")
+NULL_WORDS = tuple("n/a na n.a. none null nil - — tbd unknown".split())
+BLOCK = 128
 MASK_RUN = r"^(\*{2,}.*|X{3,}.*|[•#●]{2,}.*)$"
 
 
@@ -45,7 +46,8 @@ def find_all(text: Column, pattern: str, group: Column | None = None) -> Column:
     """All matches of a pattern that matches no empty string, with half-open offsets in code points.
 
     The pieces between matches and the matches themselves alternate, so running lengths give the offsets; no Python
-    is involved.  A null text gives null.
+    is involved.  They are summed in blocks, as a list that grows by one match at a time would be copied for each.  A
+    null text gives null.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
@@ -56,8 +58,12 @@ def find_all(text: Column, pattern: str, group: Column | None = None) -> Column:
         end = start + F.length(x["text"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("out"))
 
+    def block(acc: Column, i: Column) -> Column:
+        own = F.aggregate(F.slice(pairs, i, BLOCK), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.struct(own["at"].alias("at"), F.array_append(acc["out"], own["out"]).alias("out"))
+
     pairs = F.zip_with(found, F.slice(parts, 1, F.size(found)), lambda t, n: F.struct(t.alias("text"), n.alias("skip")))
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    folded = F.aggregate(F.sequence(F.lit(1), F.size(found), F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
     return F.when(text.isNull(), None).when(F.size(found) == 0, none).otherwise(folded)
 
 

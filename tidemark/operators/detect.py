@@ -146,15 +146,32 @@ def ordered(spans: DataFrame) -> DataFrame:
 def dictionary(texts: DataFrame, terms: DataFrame, most_words: int = 8, base: float = 0.6, reach: int = 80) -> DataFrame:
     """Leftmost-longest matches of a dictionary of surfaces, on whole ASCII words without case.
 
-    terms: (surface, entity_id, canonical, code, source).  Word n-grams meet the dictionary in an equi-join, which
-    Spark broadcasts while the dictionary is small and shuffles beyond; a fold over each text's few hits keeps those
-    that don't overlap.
+    terms: (surface, entity_id, canonical, code, source).  Word n-grams, made in Arrow batches, meet the dictionary in
+    an equi-join, which Spark broadcasts while the dictionary is small and shuffles beyond; a fold over each text's few
+    hits keeps those that don't overlap.
     """
-    words = T.find_all(F.lower("text"), "[a-z0-9]+")
-    t = texts.select(*CELL, "text", words.alias("w")).where("size(w) > 0")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(n <= F.size("w"), F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(F.array_join(F.transform(F.slice("w", i + 1, n), lambda x: x["text"]), " ").alias("surface"), F.element_at("w", i + 1)["start"].alias("start"), F.element_at("w", i + n)["end"].alias("end")))).otherwise(F.array())))
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile("[A-Za-z0-9]+").finditer
+        for b in batches:
+            text = b.column("text").to_pylist()
+            for lo in range(0, b.num_rows, 64):
+                at, surface, start, end = [], [], [], []
+                for row, t in enumerate(text[lo : lo + 64], lo):
+                    w = [(m.start(), m.end(), m[0].lower()) for m in find(t or "")]
+                    for n in range(1, most_words + 1):
+                        for i in range(len(w) - n + 1):
+                            surface.append(w[i][2] if n == 1 else " ".join(x[2] for x in w[i : i + n]))
+                            start.append(w[i][0])
+                            end.append(w[i + n - 1][1])
+                        at += [row] * max(0, len(w) - n + 1)
+                if at:
+                    where = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in CELL), pa.array(surface, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=[*CELL, "surface", "start", "end"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (texts.schema[c] for c in CELL))
     # n-grams go to the dictionary without their texts, and hits come back to their cells; texts move once, at the end
-    hits = t.select(*CELL, F.explode(grams).alias("g")).select(*CELL, "g.*").join(terms.dropDuplicates(["surface"]), "surface")
+    hits = texts.select(*CELL, "text").mapInArrow(grams, f"{kinds}, surface string, start int, end int").join(terms.dropDuplicates(["surface"]), "surface")
     hits = hits.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("rev"), "end", "entity_id", "canonical", "code", "source"))).alias("hits"))
     kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]), acc).otherwise(F.array_append(acc, x)))
     d = beside(texts.select(*CELL, "text"), hits.select(*CELL, F.when(F.size("hits") > 0, kept).alias("kept")), CELL).select(*CELL, "text", F.explode("kept").alias("s"))

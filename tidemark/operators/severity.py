@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.generalize import precision
+from tidemark.functions.local import small
 from tidemark.plans.rules import Rule, rule_table
 
 BASES = {"direct_identifier": 0.90, "genetic_data": 0.90, "biometric_identifier": 0.90, "financial_data": 0.85, "sensitive_attribute": 0.80, "device_identifier": 0.60, "quasi_identifier": 0.55, "neutral": 0.30}
@@ -109,7 +110,7 @@ def escalate(assessed: DataFrame, classes: DataFrame | None = None) -> DataFrame
 
 
 def histogram(d: DataFrame) -> DataFrame:
-    dim = d.sparkSession.createDataFrame([(x,) for x in LEVELS], "level string")
+    dim = small(d.sparkSession, [(x,) for x in LEVELS], "level string")
     return dim.join(d.groupBy("level").agg(F.count(F.lit(1)).alias("n")), "level", "left").select("level", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -140,7 +141,7 @@ def compliance(d: DataFrame) -> DataFrame:
 def checklist(d: DataFrame) -> DataFrame:
     """All 18 categories of the safe-harbor list, with the entities found of each."""
     spark = d.sparkSession
-    dim = spark.createDataFrame([(i, c, e) for i, (c, es) in enumerate(SAFE_HARBOR.items(), 1) for e in es], "position int, category string, entity string")
+    dim = small(spark, [(i, c, e) for i, (c, es) in enumerate(SAFE_HARBOR.items(), 1) for e in es], "position int, category string, entity string")
     hits = dim.join(d.groupBy("entity").agg(F.count(F.lit(1)).alias("n")), "entity", "left")
     return hits.groupBy("position", "category").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("n") > 0, F.col("entity")))), ",").alias("entities"))
 

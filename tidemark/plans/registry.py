@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.api import Scanner
 from tidemark.functions import generalize as G
+from tidemark.functions.local import small
 from tidemark.functions.validators import VALIDATORS
 from tidemark.operators import context, detect, evaluate, intervals, medical, optimize, policy, severity, synthetic, tables, utility
 from tidemark.operators.store import saved, shared_dir
@@ -400,7 +401,7 @@ def optimizer_choice(spark, sf_dir):
     chosen = optimize.choose(people, _LADDER, optimize.PRESETS["balanced"])
     kept = optimize.retentions(optimize.folded(people, _LADDER), _LADDER)
     rows = [(c, a, chosen.achieved_k, round(kept[c][_STEPS[c].index(a)], 6)) for c, a in sorted(chosen.actions.items())]
-    return spark.createDataFrame(rows, "column_name string, action string, achieved_k long, retention double")
+    return small(spark, rows, "column_name string, action string, achieved_k long, retention double")
 
 
 #: entity, action under each profile
@@ -425,7 +426,7 @@ _PRECISE = [("age", "34", 1.0), ("age", "30-34", 0.8), ("age", "30-39", 0.6), ("
 @query(f"""WITH p(i, kind, value, factor) AS (VALUES {", ".join(f"({i}, '{k}', '{v}', {f})" for i, (k, v, f) in enumerate(_PRECISE))}) SELECT c_custkey, kind, value, CAST(factor AS DOUBLE) AS factor FROM customer JOIN p ON c_custkey % {len(_PRECISE)} = i""")
 def precision_factors(spark, sf_dir):
     """The ladders' own results go back in: what a rung leaves of a value's severity."""
-    dim = spark.createDataFrame([(i, k, v) for i, (k, v, _) in enumerate(_PRECISE)], "i long, kind string, value string")
+    dim = small(spark, [(i, k, v) for i, (k, v, _) in enumerate(_PRECISE)], "i long, kind string, value string")
     return table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(_PRECISE)).alias("i")).join(F.broadcast(dim), "i").select("c_custkey", "kind", "value", G.precision(F.col("kind"), F.col("value")).alias("factor"))
 
 

@@ -7,14 +7,14 @@ an underscore, which is a word character too, and what look-around would say is
 
 from __future__ import annotations
 
-_MON = "january|february|march|april|may|june|july|august|september|october|november|december"
-_MO = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
-_T = r"( +(at +)?[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?(\s*[AP]M)?(\s+[A-Z]{2,4})?)?".replace(" +", r"\s+")
+_MON = "april|august|december|february|january|july|june|march|may|november|october|september"
+_MO = "apr|aug|dec|feb|jan|jul|jun|mar|may|nov|oct|sep"
+_T = r"( +(at +)?[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?(\s*[AP]M)?(\s+[A-Z][A-Z]{1,3})?)?".replace(" +", r"\s+")
 _YMD, _SL, _DA = r"\b[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", r"\b[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}\b", r"\b[0-9]{1,2}-[0-9]{1,2}-[0-9]{2,4}\b"
 _DATED = rf"(?i)\b({_MON})\s+[0-9]{{1,2}},?\s+[0-9]{{4}}"
 _DATED3 = rf"(?i)\b({_MO})[.]?\s+[0-9]{{1,2}},?\s+[0-9]{{4}}"
 _TEL = r"(?:\+?1[-.\s]?|\+1\s*)?(?:\([0-9]{3}\)|[0-9]{3})[-.\s]?[0-9]{3}[-.\s]?[0-9]{4}\b"
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_OCTET = "(?:2[0-4][0-9]|25[0-5]|[01]?[0-9]?[0-9])"
 _U = "(days|day|weeks|week|months|month|years|year)"
 
 #: by entity: RE2 patterns; a tuple is a pattern and a condition on the match m and on what stands before (p, one character) and after it (n)
@@ -24,10 +24,10 @@ PATTERNS: dict[str, list] = {
     "pii::fax_number": [_TEL],
     "pii::ssn": [r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"],
     "pii::street_address": [
-        r"\b[0-9]+(\s+[A-Z][a-zA-Z]+)+\s+(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Place|Pl|Court|Ct|Parkway|Pkwy|Square|Sq|Terrace|Ter|Crescent|Cres|Way|Close|Grove|Mews)\b",
+        r"\b[0-9]+(\s+[A-Z][[:alpha:]]+)+\s+(Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Place|Pl|Court|Ct|Parkway|Pkwy|Square|Sq|Terrace|Ter|Crescent|Cres|Way|Close|Grove|Mews)\b",
         r"(?i)\b(Apartment|Apt\.?|Building|Bldg\.?|Floor|Fl\.?|Room|Rm\.?|Suite|Ste\.?|Unit)\s+([0-9][A-Z0-9-]*|[A-Z][A-Z0-9-]*[0-9][A-Z0-9-]*)\b",
     ],
-    "pii::county": [r"\b[A-Z][a-zA-Z]+\s+County\b"],
+    "pii::county": [r"\b[A-Z][[:alpha:]]+\s+County\b"],
     "pii::zip_code": [r"\b[0-9]{5}(-[0-9]{4})?\b"],
     "pii::latitude_coordinates": [r"\b-?[0-9]{1,2}(\.[0-9]+)?\s*[SN]\b", r"\b-?[0-9]{1,2}\.[0-9]+\b"],
     "pii::longitude_coordinates": [r"\b-?[0-9]{1,3}(\.[0-9]+)?\s*[WE]\b", r"\b-?[0-9]{1,3}\.[0-9]+\b"],
@@ -41,13 +41,13 @@ PATTERNS: dict[str, list] = {
     "pii::imei_number": [r"\b[0-9]{15}\b"],
     "pii::mac_address": [r"\b[0-9a-fA-F]{2}([:-][0-9a-fA-F]{2}){5}\b"],
     "pii::ip_address": [rf"\b{_OCTET}(\.{_OCTET}){{3}}\b"],
-    "pii::web_url": [r"\b(https?://(www\.)?|www\.)[a-zA-Z0-9@:%._+~#=-]{1,256}\.[a-zA-Z0-9()]{1,6}\b[a-zA-Z0-9()@:%_+.~#?&/=-]*"],
-    "pii::uuid_guid": [r"\b[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", r"\b[0-9a-fA-F]{32}\b"],
-    "pii::vehicle_identification_number_vin": [r"\b[A-HJ-NPR-Z0-9]{17}\b"],
-    "pii::us_passport_number": [r"\b[A-Z][0-9]{8}\b"],
+    "pii::web_url": [r"\b(https?://(www\.)?|www\.)[[:alnum:]@:%._+~#=-]{1,256}\.[[:alnum:]()]{1,6}\b[[:alnum:]()@:%_+.~#?&/=-]*"],
+    "pii::uuid_guid": [r"\b[[:xdigit:]]{8}(-[[:xdigit:]]{4}){3}-[[:xdigit:]]{12}\b", r"\b[[:xdigit:]]{32}\b"],
+    "pii::vehicle_identification_number_vin": [r"\b[0-9A-HJ-NPR-Z]{17}\b"],
+    "pii::us_passport_number": [r"\b[[:upper:]][0-9]{8}\b"],
     "pii::uk_passport_number": [r"\b[0-9]{9}\b"],
     "pii::canadian_passport_number": [r"\b[A-Z][A-Z][0-9]{6}\b"],
-    "pii::indian_passport_number": [r"\b[A-Z][0-9]{7}\b"],
+    "pii::indian_passport_number": [r"\b[[:upper:]][0-9]{7}\b"],
     "pii::australian_passport_number": [r"\b[A-Z][A-Z]?[0-9]{7}\b"],
     "pii::german_passport_number": [r"\b[CFGHJKLMNPRTVWXYZ0-9]{9}\b"],
     "pii::drivers_license_number": [r"\b[A-Z][0-9A-Z-]{5,14}\b"],
@@ -61,10 +61,10 @@ PATTERNS: dict[str, list] = {
     "phi::medical_record_number_mrn": [r"\b[0-9]{5,10}\b", (r"\b(BH-MRN|MRN|PAT|PTID)[\s:-]\s*[0-9A-Za-z_-]{4,12}\b", "regexp_matches(regexp_extract(m, '[\\s:-]\\s*(.*)$', 1) || regexp_extract(n, '^[0-9A-Za-z_-]*'), '[0-9]')"), (r"\b(RES|GEN|SUBJ|SUB)[\s:-]\s*[0-9A-Za-z_-]{1,12}\b", "regexp_matches(regexp_extract(m, '[\\s:-]\\s*(.*)$', 1) || regexp_extract(n, '^[0-9A-Za-z_-]*'), '[0-9]')")],
     "phi::health_plan_beneficiary_number": [r"\b(PLN|MEM|INS|HPB|GRP|BEN)-[0-9A-Za-z_]{1,15}\b", r"\b(WLP|UHC|SHP|MOL|KSR|HUM|CVH|CIG|BCBS|BCB|ANT|AET)-[0-9A-Za-z_]{1,15}\b"],
     "phi::claim_control_number": [r"\b(STUDY|GEN-STUDY|CLM|CCN|AUTH)-[0-9A-Za-z_-]{1,25}\b"],
-    "phi::icd10_diagnosis_codes": [r"\b[A-TV-Z][0-9][0-9A-Z](\.[0-9A-Z]{1,4})?\b"],
+    "phi::icd10_diagnosis_codes": [r"\b[A-TV-Z][[:digit:]][[:digit:][:upper:]](\.[[:digit:][:upper:]]{1,4})?\b"],
     "phi::cpt_procedure_codes": [r"\b[0-9]{5}\b"],
-    "phi::medication_dosage": [r"\b[0-9]+(\.[0-9]+)?\s*(mg|mcg|mL|ml|kg|g|IU|units|unit|tablets|tablet|capsules|capsule|caps|cap)\b", r"\b[0-9]+(\.[0-9]+)?\s*(mg|mcg|mL|ml|g)\s*/\s*(kg/day|kg|day|hour|hr|dose|min)\b", r"(?i)\b([0-9]+\s*(x|times|time)\s+(daily|per\s+day|a\s+day)|(thrice|twice|once)\s+(daily|per\s+day|a\s+day))\b"],
-    "phi::vital_signs": [r"\b[0-9]{2,3}/[0-9]{2,3}\b", r"\b[0-9]{2,3}\s*bpm\b", r"\b[0-9]{2,3}(\.[0-9])?\s*°?\s*[FC]\b", r"\b(9[0-9]|100)\s*%\s*(SpO2|O2|oxygen|sat)?\b", r"\b[0-9]{1,2}\s*(breaths|breath|br)[\s/](minute|min)\b"],
+    "phi::medication_dosage": [r"\b[0-9]+(\.[0-9]+)?\s*(mg|mcg|mL|ml|kg|g|IU|units|unit|tablets|tablet|capsules|capsule|caps|cap)\b", r"\b[0-9]+(\.[0-9]+)?\s*(mg|mcg|mL|ml|g)\s*/\s*(kg/day|kg|day|hour|hr|dose|min)\b", r"(?i)\b([0-9]+\s*(x|times|time)\s+(per\s+day|daily|a\s+day)|(thrice|twice|once)\s+(per\s+day|daily|a\s+day))\b"],
+    "phi::vital_signs": [r"\b[0-9]{2,3}/[0-9]{2,3}\b", r"\b[0-9]{2,3}\s*bpm\b", r"\b[0-9]{2,3}(\.[0-9])?\s*°?\s*[FC]\b", r"\b(100|9[0-9])\s*%\s*(SpO2|O2|oxygen|sat)?\b", r"\b[0-9]{1,2}\s*(breaths|breath|br)[\s/](minute|min)\b"],
     "phi::provider_npi": [r"\b[0-9]{10}\b"],
     "phi::dates": [_YMD + r"\b", _SL, _DA, _DATED + r"\b", _DATED3 + r"\b"],
     "phi::timestamps": [r"\b[0-9]{10}\b", r"\b[0-9]{13}\b"],
@@ -74,13 +74,13 @@ PATTERNS: dict[str, list] = {
     ],
     "fin::credit_card_number": ["<digits>", r"\b(?:[0-9Xx*#][ -]*?){13,19}\b", r"(?i)(?:\b(?:card\s+)?ending\s+in|\blast\s+(?:four|4)\s+digits?)\s+[0-9]{4}\b"],
     "fin::cvv_code": [(r"\b[0-9]{3,4}\b", "p NOT IN ('-') AND n[1] NOT IN ('-')")],
-    "fin::card_expiry_date": [r"\b(0[1-9]|1[0-2])/[0-9]{2}\b"],
+    "fin::card_expiry_date": [r"\b(1[0-2]|0[1-9])/[0-9]{2}\b"],
     "fin::bank_account_number": [r"\b[0-9]{6,17}\b"],
     "fin::routing_number_aba": [(r"\b[0-9]{9}\b", "p <> '-' AND n[1] <> '-'")],
-    "fin::iban": [r"\b[A-Z]{2}[0-9]{2}[0-9A-Z]{11,28}\b"],
+    "fin::iban": [r"\b[[:upper:]]{2}[0-9]{2}[0-9A-Z]{11,28}\b"],
     "fin::payment_transaction_id": [r"\b(TXN|REF|PYMT|PMT|PAY|ORD|INV)-[0-9A-Za-z_]{3,20}\b"],
-    "fin::crypto_wallet_address": [r"\b0x[0-9a-fA-F]{40}\b", r"\b(bc1[0-9a-z]{25,39}|[13][a-km-zA-HJ-NP-Z1-9]{25,34})\b"],
-    "fin::swift_bic": [r"\b[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\b"],
+    "fin::crypto_wallet_address": [r"\b0x[0-9a-fA-F]{40}\b", r"\b(bc1[0-9a-z]{25,39}|[13][1-9A-HJ-NP-Za-km-z]{25,34})\b"],
+    "fin::swift_bic": [r"\b[A-Z]{6}[0-9A-Z]{2}([0-9A-Z]{3})?\b"],
 }
 #: what may not stand right before or after a span
 BEFORE = {
@@ -110,12 +110,12 @@ def _pieces(p: str, key: str, text: str, table: str) -> str:
 
 
 def _cards(key: str, text: str, table: str) -> str:
-    """Stretches of 13 to 19 digits with blanks and dashes between: groups of digits, taken from the left while as many as can be fit."""
+    """Stretches of 13 to 19 digits with blanks and dashes between: groups of digits, taken from the left up to the one that completes 13."""
     return f"""SELECT {key}, t0, a AS start, b AS "end", substr(t0, a + 1, b - a) AS m FROM (
       WITH RECURSIVE runs AS (SELECT {key}, t0, start, m FROM ({_pieces("[0-9]([ -]*[0-9])*", key, text, table)}) WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) >= 13),
       g AS (SELECT {key}, t0, start AS run, m, list_transform(range(1, length(m) + 1), lambda i: CASE WHEN regexp_matches(m[i], '[0-9]') AND (i = 1 OR NOT regexp_matches(m[i - 1], '[0-9]')) THEN i ELSE 0 END) AS st FROM runs),
       e AS (SELECT {key}, t0, run, m, unnest(list_filter(st, lambda i: i > 0)) AS i FROM g),
-      c AS (SELECT {key}, t0, run, i, max(j) AS j FROM (SELECT {key}, t0, run, m, i, unnest(range(i, length(m) + 1)) AS j FROM e) WHERE regexp_matches(m[j], '[0-9]') AND (j = length(m) OR NOT regexp_matches(m[j + 1], '[0-9]')) AND length(regexp_replace(m[i:j], '[^0-9]', '', 'g')) BETWEEN 13 AND 19 GROUP BY {key}, t0, run, i),
+      c AS (SELECT {key}, t0, run, i, min(j) AS j FROM (SELECT {key}, t0, run, m, i, unnest(range(i, length(m) + 1)) AS j FROM e) WHERE regexp_matches(m[j], '[0-9]') AND (j = length(m) OR NOT regexp_matches(m[j + 1], '[0-9]')) AND length(regexp_replace(m[i:j], '[^0-9]', '', 'g')) BETWEEN 13 AND 19 GROUP BY {key}, t0, run, i),
       w AS (SELECT {key}, t0, run, min_by(j, i) AS j, min(i) AS i FROM c GROUP BY {key}, t0, run
         UNION ALL SELECT w.{key}, w.t0, w.run, n.j, n.i FROM w, LATERAL (SELECT min(c.i) AS i, min_by(c.j, c.i) AS j FROM c WHERE c.{key} = w.{key} AND c.run = w.run AND c.i > w.j) n WHERE n.i IS NOT NULL)
       SELECT {key}, t0, CAST(run + i - 1 AS BIGINT) AS a, CAST(run + j AS BIGINT) AS b FROM w)"""

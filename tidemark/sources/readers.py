@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.local import small
 from tidemark.operators import evaluate
 from tidemark.operators.detect import CELL
 from tidemark.operators.store import saved
@@ -123,7 +124,7 @@ def read_all(spark: SparkSession, paths: list[str], max_rows: int | None = None)
         d = read_csv(spark, f, max_rows) if f.lower().endswith(".csv") else read_json(spark, f, max_rows)
         parts.append(cells(d, f, "_row"))
     if not parts:
-        return spark.createDataFrame([], "source_id string, row long, col string, text string")
+        return small(spark, [], "source_id string, row long, col string, text string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -153,7 +154,7 @@ def read_gold(spark: SparkSession, files: list[str], texts: DataFrame, rules: tu
     up along is_a.
     """
     d = spark.read.text(files).select(F.split_part(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("."), F.lit(1)).alias("doc"), F.from_json("value", "start int, end int, text string, entity_id string").alias("g")).where("g.start is not null").select("doc", "g.*")
-    roots = spark.createDataFrame([(r.entity_id, root(r.entity_id, rules)) for r in rules], "entity_id string, root_id string")
+    roots = small(spark, [(r.entity_id, root(r.entity_id, rules)) for r in rules], "entity_id string, root_id string")
     d = d.join(F.broadcast(roots), "entity_id", "left").join(texts.select(F.col("source_id").alias("doc"), F.col("text").alias("_text")), "doc", "left")
     good = F.col("root_id").isNotNull() & F.coalesce(F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text"), F.lit(False))
     if strict:

@@ -1,5 +1,6 @@
 """The ten operators: against brute force on small tables, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import base64
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -230,8 +231,8 @@ def test_probes_meet_in_every_size_band():
     b = pa.RecordBatch.from_arrays([pa.array(size), pa.array(one), pa.array(one)], names=["size", "s1", "s2"])
     parts, held = [list(range(16 * k, 16 * k + 16)) for k in range(4)], defaultdict(set)
     for out in simhash._probes(parts, [0, -1, -1, -1], 2.5, {})(iter([b])):
-        for g, rs in zip(out.column("g").to_pylist(), out.column("rs").to_pylist()):
-            held[rs & ((1 << 29) - 1)].add(g)
+        for k in out.column("k").to_pylist():
+            held[k & ((1 << 29) - 1)].add(k >> 31)
     assert all(held[x] & held[y] for x, y in combinations(size.tolist(), 2) if max(x, y) <= 2.5 * min(x, y))
 
 
@@ -246,8 +247,7 @@ def test_a_large_group_is_searched_by_reaching_out(role):
     s1 = np.unique(s1)
     s2 = np.zeros(len(s1), np.int64)
     kinds = np.sort(r.integers(1, 3, len(s1))) if role else np.zeros(len(s1), np.int64)
-    rs = (kinds << 29 | 50).astype(np.int32)
-    b = pa.RecordBatch.from_arrays([pa.array(np.full(len(s1), 5)), pa.array(rs), pa.array(s1), pa.array(s2)], names=["g", "rs", "s1", "s2"])
+    b = pa.RecordBatch.from_arrays([pa.array(np.int64(5) << 31 | kinds << 29 | 50), pa.array(s1), pa.array(s2)], names=["k", "s1", "s2"])
     node = simhash.node_of(s1, s2, np.full(len(s1), 50))
     at = {int(x): k for k, x in enumerate(node)}
     i, j = np.nonzero(np.triu(np.bitwise_count((s1[:, None] ^ s1[None, :]).view(np.uint64)) <= 4, 1))
@@ -525,6 +525,15 @@ def test_bpe(spark):
     assert bpe.encode(frame(spark, [])).count() == 0
 
 
+def test_bpe_needs_every_byte(spark, tmp_path):
+    at = tmp_path / "v.tiktoken"
+    at.write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i}" for i in range(255)))
+    with pytest.raises(ValueError, match="255"):
+        bpe.encode(frame(spark, ROWS), str(at))
+    at.write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i}" for i in range(256)))
+    assert {tuple(r.tokens) for r in bpe.encode(frame(spark, [(1, "é ")]), str(at)).collect()} == {(0xC3, 0xA9, 0x20)}
+
+
 def test_bpe_short_and_long_agree():
     ranks = bpe.load()
     r = np.random.Generator(np.random.PCG64(8))
@@ -564,6 +573,11 @@ def test_quality(spark):
     assert 900 in ids and None in ids and 901 in ids
     assert quality.accepted(d, lab.where("false")).count() == d.count()
     assert quality.accepted(d.where("false"), lab).count() == 0
+    # labels of one kind only reject all or none of that head; repeated ids with other texts are judged each
+    good = spark.createDataFrame([(i, 1, None) for i in range(30)], "doc_id long, quality int, toxic int")
+    assert quality.accepted(d, good).count() == d.count()
+    twice = frame(spark, [(1, rows[1][1]), (1, rows[3][1]), (1, rows[3][1])])
+    assert [r.keep for r in quality.score(twice, model).orderBy("quality_score").collect()] == [False, False, True] and quality.accepted(twice, lab).count() <= 3
 
 
 def plain_features(t):

@@ -25,7 +25,8 @@ from .common import packed, saved, texts
 from .components import components
 
 DISTANCE, CHECK, RATIO, PARTS, BLOCK = 10, 22, 1.25, 4, 100_000
-_BAND = math.log(1.5)
+#: width of a size band; a document whose like may lie in the next one is probed in both
+_BAND = math.log(2.5)
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -145,8 +146,12 @@ def blocks(counts: list[np.ndarray], widths: list[int], thresholds: list[int], b
 
 
 def _probes(parts: list[list[int]], thresholds: list[int], ratio: float, split: dict[int, np.ndarray]):
-    """A probe's group is (g), its role and size (rs), its signature; those of a hot value go to every pair of blocks that their own is in."""
-    schema = pa.schema([("g", pa.int64()), ("rs", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())])
+    """A probe is one number k, its group, role and size, and the signature; those of a hot value go to every pair of blocks that their own is in.
+
+    Groups have 32 bits: whether two roles meet, and the part, band and value, or a hash of them and of the blocks; two
+    that fall together only cost comparisons.
+    """
+    schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
     plan = [(i, part, role, _masks(len(part), r)) for i, (part, t) in enumerate(zip(parts, thresholds)) for role, r in _roles(t)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +175,10 @@ def _probes(parts: list[list[int]], thresholds: list[int], ratio: float, split:
                         other += other >= mine
                         pair = np.minimum(mine, other) * np.repeat(n[hot], times) + np.maximum(mine, other)
                         cold = np.flatnonzero(n == 1)
-                        g = np.concatenate((g[cold], (pair + 1) << 28 | np.repeat(g[hot], times)))
+                        g = np.concatenate((g[cold], (tv.mix((pair << 28 ^ np.repeat(g[hot], times)).view(np.uint64)) >> np.uint64(33)).view(np.int64)))
                         rep = np.concatenate((rep[cold], np.repeat(rep[hot], times)))
-                    rs = (role << 29 | size[rep].astype(np.int64)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(rs), pa.array(s1[rep]), pa.array(s2[rep])], schema=schema)
+                    k = (int(role > 0) << 31 | g) << 31 | role << 29 | size[rep].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s1[rep]), pa.array(s2[rep])], schema=schema)
 
     return run
 
@@ -230,7 +235,8 @@ def _links(distance: int, check: int, ratio: float, rows: int, large: int = 512,
         return np.concatenate(ea or [none]), np.concatenate(eb or [none])
 
     def one(t: pa.Table) -> pa.RecordBatch | None:
-        g, rs = t.column("g").to_numpy(), t.column("rs").to_numpy()
+        k = t.column("k").to_numpy()
+        g, rs = k >> 31, k & ((1 << 31) - 1)
         s1, s2 = (t.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
         size, role = rs & ((1 << 29) - 1), rs >> 29
         close = lambda i, j: _close(s1, s2, size, i, j, distance, check, ratio)
@@ -254,8 +260,8 @@ def _links(distance: int, check: int, ratio: float, rows: int, large: int = 512,
             ok = close(i, j)
             local_roots(len(name), which[i[ok]], which[j[ok]], root)
             done = upto
-        for k in np.flatnonzero(sizes > large):
-            members = here[first[k] : first[k + 1]]
+        for big in np.flatnonzero(sizes > large):
+            members = here[first[big] : first[big + 1]]
             sides = (members, members) if role[members[0]] == 0 else (members[role[members] == 1], members[role[members] == 2])
             i, j = reach(*sides, close)
             local_roots(len(name), which[i], which[j], root)
@@ -266,7 +272,7 @@ def _links(distance: int, check: int, ratio: float, rows: int, large: int = 512,
         return pa.RecordBatch.from_arrays([pa.array(name[on]), pa.array(name[root[on]])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tv.whole_groups(batches, "g", rows):
+        for t in tv.whole_groups(batches, "k", rows, 31):
             if (out := one(t)) is not None:
                 yield out
 
@@ -329,8 +335,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, check: int = CHEC
     sig = saved(signatures(docs, text, doc_id).groupBy("doc_id", "rk", "size", "s1", "s2").agg(F.count(F.lit(1)).alias("copies")))
     own = saved(sig.select("s1", "s2", "size").distinct())
     bits, thresholds, split = plan(own, distance, parts, block_rows)
-    probes = own.mapInArrow(_probes(bits, thresholds, ratio, split), "g long, rs int, s1 long, s2 long")
-    links = probes.repartition("g").sortWithinPartitions("g", "rs").mapInArrow(_links(distance, check, ratio, 200_000), "a long, b long")
+    probes = own.mapInArrow(_probes(bits, thresholds, ratio, split), "k long, s1 long, s2 long")
+    links = probes.repartition(F.expr("shiftright(k, 31)")).sortWithinPartitions("k").mapInArrow(_links(distance, check, ratio, 200_000), "a long, b long")
     roots = components(links)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,9 +35,11 @@ def merge(sources: list[DataFrame], stop: tuple[str, ...] = STOP, most_words: in
 
 
 def typed(lay: DataFrame, terms: DataFrame) -> DataFrame:
-    """Lay terms (term, canonical) with the entity and code of their canonical form; those without one go."""
-    t = terms.select(F.col("surface").alias("_s"), "entity_id", "code", F.col("canonical").alias("to"))
-    return lay.withColumn("_s", normal_term(F.col("canonical"))).join(t, "_s").select("term", "entity_id", F.col("to").alias("canonical"), "code", F.lit("lay").alias("source"))
+    """Lay terms (term, canonical) with the entity of their canonical form; those without one go.  Their code is their own, where they have one, else that form's."""
+    t = terms.select(F.col("surface").alias("_s"), "entity_id", F.col("code").alias("_code"), F.col("canonical").alias("to"))
+    own = "code" in lay.columns
+    d = lay.withColumn("_s", normal_term(F.col("canonical"))).join(t, "_s")
+    return d.select("term", "entity_id", F.col("canonical" if own else "to").alias("canonical"), F.col("code" if own else "_code").alias("code"), F.lit("lay").alias("source"))
 
 
 def codes(df: DataFrame, code: str, description: str, order: str) -> DataFrame:

@@ -316,7 +316,7 @@ def test_medical(spark):
 
 def test_vocabularies(spark, tmp_path):
     (tmp_path / "m.csv").write_text('id,label,synonyms,x,obsolete\nM:1,Kidney Disease,"renal trouble|nephropathy, chronic",,\nM:2,Old Thing,,,TRUE\n')
-    (tmp_path / "r.rrf").write_text("77|ENG||||||||||IN|c|Aspirin|||\n78|ENG||||||||||XX|c|Nothing|||\nshort|line\n")
+    (tmp_path / "r.rrf").write_text("77|ENG|||||||||||IN|c|Aspirin|||\n78|ENG|||||||||||XX|c|Nothing|||\nshort|line\n")
     (tmp_path / "c.csv").write_text("C1,bad kidneys,x,Kidney disease\nC2,headache pill,x,aspirin\nC3,unknown thing,x,else\n")
     got = vocabularies.dictionary(spark, *[str(tmp_path / f) for f in ("m.csv", "r.rrf", "c.csv")])
     assert {(r.surface, r.entity_id.split("::")[1], r.code, r.source) for r in got.collect()} == {("kidney disease", "medical_condition", "M:1", "mondo"), ("renal trouble", "medical_condition", "M:1", "mondo"), ("nephropathy chronic", "medical_condition", "M:1", "mondo"), ("aspirin", "medication_name", "77", "rxnorm"), ("bad kidneys", "medical_condition", "C1", "lay"), ("headache pill", "medication_name", "C2", "lay")}

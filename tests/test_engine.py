@@ -83,6 +83,7 @@ def test_scan_and_dedupe(spark):
     t = texts(spark, "Call (743) 555-3824 or fax: (743) 555-3825.", "", "write a.b@ex.org")
     got = detect.dedupe(detect.scan(t, R.only("phone_number", "fax_number", "email_address")))
     assert {(r.source_id, r.text, r.entity_id) for r in got.collect()} == {("0", "(743) 555-3824", "pii::phone_number"), ("0", "(743) 555-3825", "pii::phone_number"), ("2", "a.b@ex.org", "pii::email_address")}
+    assert {r.entity_id for r in Scanner(spark, R.only("phone_number", "fax_number")).texts(t).where("start > 20").collect()} == {"pii::phone_number"}  # equal confidences: the greater id, which its check locks against context
     assert detect.scan(t, R.only("city")).count() == 0
 
 

@@ -72,6 +72,11 @@ def test_generalize(spark):
         assert one(spark, G.precision(F.lit(kind), F.lit(value))) == want
 
 
+def test_coordinates_by_exact_value(spark):
+    for v in (-3.85, -2.75, 0.35, -0.0, 0.05, 0.049999999999999996, 0.25, 0.75, 99.95, -1000.45, 5e-324, None):
+        assert one(spark, G.coordinates(F.lit(v).cast("double").cast("string"), "1dp")) == (None if v is None else f"{v:.1f}"), v
+
+
 def test_confidence(spark):
     f = lambda base, valid, w, primary: round(one(spark, detect.confidence(F.lit(base), F.lit(valid).cast("boolean"), F.lit(w).cast("double"), F.lit(primary))), 4)
     assert f(0.8, None, None, False) == 0.8

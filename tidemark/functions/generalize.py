@@ -35,10 +35,15 @@ def zip_code(c: Column, level: str) -> Column:
 def coordinates(c: Column, level: str) -> Column:
     """Rounded by the number's exact binary value, halves to even."""
     v = F.trim(c).try_cast("double")
-    sign, whole = F.when(v < 0, "-").otherwise(""), F.floor(F.abs(v))
+    sign, whole = F.when((v < 0) | ((v == 0) & F.startswith(F.trim(c), F.lit("-"))), "-").otherwise(""), F.floor(F.abs(v))
     if level == "int":
         return F.concat(sign, F.bround(F.abs(v), 0).cast("long").cast("string"))
-    tenths = whole * 10 + F.bround((F.abs(v) - whole) * 10, 0).cast("long")
+    # ten times the fraction, in units of 2^-58: a double times 10 would be rounded, to a half that it isn't; what is cut off is of fractions under 2^-5, which give 0
+    unit = 1 << 58
+    part = ((F.abs(v) - whole) * float(unit)).cast("long") * 10
+    down, rest = F.shiftright(part, 58), part.bitwiseAND(F.lit(unit - 1))
+    up = (rest > unit // 2) | ((rest == unit // 2) & (down % 2 == 1))
+    tenths = whole * 10 + down + up.cast("long")
     return F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 

@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import compress
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions.needed import sieve
 from tidemark.functions.validators import VALIDATORS, passes
 from tidemark.plans.rules import DEFAULT_WEIGHT, Rule, rule_table
 
@@ -73,7 +76,17 @@ def _matcher(rules: tuple[Rule, ...], reach: int):
             plan.setdefault(r.anchor, []).append((i, _weight(r, k), p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [(a and re.compile(a).search, [(i, w, re.compile(p).finditer) for i, w, p in own]) for a, own in plan.items()]
+        # equal patterns of several rules run once
+        groups = []
+        for a, own in plan.items():
+            users: dict[str, list] = {}
+            for i, w, p in own:
+                users.setdefault(p, []).append((i, w))
+            groups.append((a and re.compile(a).search, [(re.compile(p).finditer, u) for p, u in users.items()], list(users)))
+        asked = [p for _, _, own in groups for p in own]
+        anchored = [a for a, own in zip(plan, groups) for _ in own[2]]
+        pairs = [(g, own) for g, (_, all_, _) in enumerate(groups) for own in all_]
+        may, may_anchor = sieve(asked), sieve([a or "" for a in anchored])
         schema = None
         for b in batches:
             schema = schema or pa.schema([*(b.schema.field(c) for c in CELL), ("ord", pa.int32()), ("base", pa.float64()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("before", pa.string()), ("after", pa.string())])
@@ -82,13 +95,16 @@ def _matcher(rules: tuple[Rule, ...], reach: int):
                 at, found = [], []
                 for row, text in enumerate(texts.slice(lo, 256).to_pylist(), lo):
                     seen = {}
-                    for anchor, own in groups:
-                        if text is None or anchor and not anchor(text):
-                            continue
-                        for i, w, find in own:
+                    left = compress(pairs, map(and_, may(text), may_anchor(text))) if text is not None else ()
+                    known = {}
+                    for g, (find, users) in left:
+                        anchor = groups[g][0]
+                        if g not in known:
+                            known[g] = not anchor or anchor(text) is not None
+                        if known[g]:
                             for m in find(text):
-                                key = (i, w, *m.span())
-                                seen.setdefault(key, m[0])
+                                for i, w in users:
+                                    seen.setdefault((i, w, *m.span()), m[0])
                     for (i, w, s, e), value in seen.items():
                         at.append(row)
                         found.append((i, w, s, e, value, text[max(0, s - reach) : s], text[e : e + reach]))

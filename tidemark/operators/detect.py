@@ -9,8 +9,10 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import compress
 from operator import and_
+from zlib import crc32
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,42 +161,67 @@ def ordered(spans: DataFrame) -> DataFrame:
     return spans.orderBy(*CELL, "start", F.desc("confidence"), "end", "entity_id")
 
 
+#: bits of the tables that tell which rows of words may be a surface or begin one
+SLOTS = 1 << 24
+
+
+def _marked(terms: DataFrame) -> tuple[bytes, bytes]:
+    """Bit tables of the surfaces' first words, first two and so on, and of the whole surfaces, by CRC; their size doesn't depend on the dictionary's."""
+    w = F.split("surface", " ")
+    begun = F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.struct(F.lit(0).alias("kind"), F.array_join(F.slice(w, 1, n), " ").alias("s")))
+    both = terms.where("surface is not null").select(F.explode(F.concat(begun, F.array(F.struct(F.lit(1).alias("kind"), F.col("surface").alias("s"))))).alias("x"))
+    slot = F.pmod(F.crc32(F.encode("x.s", "UTF-8")), F.lit(SLOTS))
+    marks = both.groupBy("x.kind", F.floor(slot / 8).alias("byte")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))).alias("bits")).toArrow()
+    tables = bytearray(SLOTS // 8), bytearray(SLOTS // 8)
+    for kind, byte, bits in zip(*(c.to_pylist() for c in marks.columns)):
+        tables[kind][byte] = bits
+    return bytes(tables[0]), bytes(tables[1])
+
+
 def dictionary(texts: DataFrame, terms: DataFrame, most_words: int = 8, base: float = 0.6, reach: int = 80) -> DataFrame:
     """Leftmost-longest matches of a dictionary of surfaces, on whole ASCII words without case.
 
-    terms: (surface, entity_id, canonical, code, source).  Word n-grams, made in Arrow batches, meet the dictionary in
-    an equi-join, which Spark broadcasts while the dictionary is small and shuffles beyond; a fold over each text's few
-    hits keeps those that don't overlap.
+    terms: (surface, entity_id, canonical, code, source).  Word n-grams that may be a surface, by bit tables made of the
+    dictionary, come from Arrow batches with the text around them and meet the dictionary itself in an equi-join, which
+    Spark broadcasts while the dictionary is small and shuffles beyond; a fold over each text's few hits keeps those
+    that don't overlap.
     """
+    tables = texts.sparkSession.sparkContext.broadcast(_marked(terms))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile("[A-Za-z0-9]+").finditer
+        begun, whole = tables.value
+        row_id = TaskContext.get().partitionId() << 40
         for b in batches:
             text = b.column("text").to_pylist()
             for lo in range(0, b.num_rows, 64):
-                at, surface, start, end = [], [], [], []
+                at, found = [], []
                 for row, t in enumerate(text[lo : lo + 64], lo):
-                    w = [(m.start(), m.end(), m[0].lower()) for m in find(t or "")]
-                    for n in range(1, most_words + 1):
-                        for i in range(len(w) - n + 1):
-                            surface.append(w[i][2] if n == 1 else " ".join(x[2] for x in w[i : i + n]))
-                            start.append(w[i][0])
-                            end.append(w[i + n - 1][1])
-                        at += [row] * max(0, len(w) - n + 1)
+                    row_id += 1
+                    w = [(*m.span(), m[0].lower().encode()) for m in find(t or "")]
+                    for i, (s, e, word) in enumerate(w):
+                        crc = crc32(word)
+                        n = i
+                        while begun[(k := crc % SLOTS) >> 3] >> (k & 7) & 1:
+                            if whole[k >> 3] >> (k & 7) & 1:
+                                at.append(row)
+                                found.append((row_id, b" ".join(x[2] for x in w[i : n + 1]).decode(), s, e, t[s:e], t[max(0, s - reach) : s], t[e : e + reach]))
+                            n += 1
+                            if n == len(w) or n - i == most_words:
+                                break
+                            _, e, word = w[n]
+                            crc = crc32(word, crc32(b" ", crc))
                 if at:
-                    where = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in CELL), pa.array(surface, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], names=[*CELL, "surface", "start", "end"])
+                    where, cols = pa.array(at), zip(*found)
+                    kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in CELL), *(pa.array(x, t) for x, t in zip(cols, kinds))], names=[*CELL, "_row", "surface", "start", "end", "value", "before", "after"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (texts.schema[c] for c in CELL))
-    # n-grams go to the dictionary without their texts, and hits come back to their cells; texts move once, at the end
-    hits = texts.select(*CELL, "text").mapInArrow(grams, f"{kinds}, surface string, start int, end int").join(terms.dropDuplicates(["surface"]), "surface")
-    hits = hits.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("rev"), "end", "entity_id", "canonical", "code", "source"))).alias("hits"))
+    hits = texts.select(*CELL, "text").mapInArrow(grams, f"{kinds}, _row long, surface string, start int, end int, value string, before string, after string").join(terms.dropDuplicates(["surface"]), "surface")
+    hits = hits.groupBy(*CELL, "_row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("rev"), "end", "entity_id", "canonical", "code", "source", "value", "before", "after"))).alias("hits"))
     kept = F.aggregate("hits", F.slice("hits", 1, 0), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > x["start"]), acc).otherwise(F.array_append(acc, x)))
-    d = beside(texts.select(*CELL, "text"), hits.select(*CELL, F.when(F.size("hits") > 0, kept).alias("kept")), CELL).select(*CELL, "text", F.explode("kept").alias("s"))
-    cut = F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    before = F.substring(F.col("text"), F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach)))
-    after = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach))
-    return d.select(*CELL, "s.start", "s.end", cut.alias("value"), "s.entity_id", F.split_part("s.entity_id", F.lit("::"), F.lit(2)).alias("entity"), F.split_part("s.entity_id", F.lit("::"), F.lit(1)).alias("ontology"), F.lit(base).alias("confidence"), F.lit(None).cast("boolean").alias("valid"), before.alias("before"), after.alias("after"), F.lit("dictionary").alias("stage"), F.col("s.canonical").alias("canonical"), F.col("s.code").alias("code")).withColumnRenamed("value", "text")
+    d = hits.select(*CELL, F.explode(kept).alias("s"))
+    return d.select(*CELL, "s.start", "s.end", F.col("s.value").alias("text"), "s.entity_id", F.split_part("s.entity_id", F.lit("::"), F.lit(2)).alias("entity"), F.split_part("s.entity_id", F.lit("::"), F.lit(1)).alias("ontology"), F.lit(base).alias("confidence"), F.lit(None).cast("boolean").alias("valid"), "s.before", "s.after", F.lit("dictionary").alias("stage"), "s.canonical", "s.code")
 
 
 def deterministic(texts: DataFrame, rules: tuple[Rule, ...], terms: DataFrame | None = None, min_confidence: float = 0.0, custom=None) -> DataFrame:

@@ -2,7 +2,8 @@ import re
 from pathlib import Path
 
 from tidemark.functions.needed import needed, sieve
-from tidemark.plans.rules import catalogue
+from tidemark.operators import detect
+from tidemark.plans.rules import catalogue, only
 
 
 def test_needed():
@@ -27,3 +28,9 @@ def test_sieve_lets_every_match_through():
                     assert ok, (p, t)
     assert n > 500
     assert sum(may("no such words here")) < 20
+
+
+def test_few_rules_run_in_batches(spark):
+    t = detect.documents(spark.createDataFrame([(1, "mail a.b@example.org"), (2, None)], "doc_id long, text string"))
+    found = detect.scan(t, only("email_address"))
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and [r.text for r in found.collect()] == ["a.b@example.org"]

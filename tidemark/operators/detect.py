@@ -42,9 +42,6 @@ def confidence(base: Column, valid: Column, weight: Column, primary: Column) ->
     return F.when(valid.isNull(), base).when(valid, ok).otherwise(bad)
 
 
-#: up to so many patterns are one projection of built-in functions; more of them are one pass in Arrow batches, as the
-#: plan of some hundred patterns takes Spark longer to make than a small table takes to scan
-NATIVE = 16
 MATCHES = "ord int, base double, start int, end int, value string, before string, after string"
 
 
@@ -118,11 +115,12 @@ def _matcher(rules: tuple[Rule, ...], reach: int):
     return run
 
 
-def scan(texts: DataFrame, rules: tuple[Rule, ...], reach: int = 80, native: bool | None = None) -> DataFrame:
+def scan(texts: DataFrame, rules: tuple[Rule, ...], reach: int = 80, native: bool = False) -> DataFrame:
     """All matches of all patterns, overlapping ones too, with the text around each.
 
     A cheap anchor skips texts that can't match.  ``native`` evaluates the patterns by built-in functions in one
-    projection, else they are compiled and run over Arrow batches; both find the same.  A span that two patterns of a
+    projection, else they are compiled and run over Arrow batches, on texts that hold what a match needs; both find the
+    same.  A span that two patterns of a
     rule find with one weight comes once.  The spans meet the rule table by broadcast; what comes back has the
     validator's outcome and the confidence.
     """
@@ -130,7 +128,7 @@ def scan(texts: DataFrame, rules: tuple[Rule, ...], reach: int = 80, native: boo
     n = sum(len(r.patterns) for r in rules)
     if not n:
         return _finish(texts.select(*CELL, F.lit(0).alias("ord"), F.lit(0.0).alias("base"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.col("text").alias("value"), F.lit("").alias("before"), F.lit("").alias("after")).where("false").withColumnRenamed("value", "text"), rules, spark)
-    if native or native is None and n <= NATIVE:
+    if native:
         found = _native(texts, rules, reach)
     else:
         cells = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (texts.schema[c] for c in CELL))
